@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ BLOCK_TOKENS = 1 << 18
 BLOCK_DOCS = 1 << 14
 KEYS_PER_BUCKET = 8192
 #: Distinct pieces whose ids a worker remembers; speed only.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 _BATCH_TEXTS = 256
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -48,6 +50,28 @@ _PIECE = re.compile(
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself,
+    the others from U+0100 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Ids of pieces as bytes; an unknown piece is encoded by the library's model, and kept while there is room."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenize, self.kind, self.map = tokenizer.model.tokenize, kind, _byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.kind, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))]).tobytes()
+        if len(self) < CACHE_PIECES:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as bytes, by the tokenizers library; a piece that recurs is encoded once."""
 
@@ -58,32 +82,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else 4
-        self.end = np.array([end_id], f"<u{self.width}").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.end = array(self.kind, [end_id]).tobytes()
+        self.known = _Known(self.tokenizer, self.kind)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get = self.known.__getitem__
         return [
-            np.array(e.ids, kind).tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            (self._whole(t) if _OTHER.search(t) else b"".join(map(get, _PIECE.findall(t)))) + self.end
+            for t in texts
         ]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids + self.end
-        skip = set(whole)
-        pieces = {i: _PIECE.findall(t) for i, t in enumerate(texts) if i not in skip}
-        need = set().union(*pieces.values()) - self.known.keys()
-        if need and len(self.known) + len(need) > CACHE_PIECES:
-            self.known.clear()
-            need = set().union(*pieces.values())
-        new = list(need)
-        self.known.update(zip(new, self._ids(new)))
-        for i, own in pieces.items():
-            out[i] = b"".join(map(self.known.__getitem__, own)) + self.end
-        return out
+    def _whole(self, text: str) -> bytes:
+        (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array(self.kind, got.ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
+    """One encoder a worker process, whose known pieces serve all its tasks."""
+    return Encoder(tokenizer_path, end_id)
 
 
 _SHARD = "shard int, block int, width int, n_tokens long, keys array<bigint>, lens array<int>, ids binary"
@@ -93,7 +111,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
     """Encode whole texts, append end_id to each, and write shards and index below path."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, block = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+        encoder, shard, block = _encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[bytes] = []
         size = 0
