@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stumpwright.llm import chat, decontaminate, html_extract, langid, packing, quality, token_store
+from stumpwright.llm import chat, decontaminate, html_extract, langid, ngram_join, packing, pii, quality, substring_dedup, token_store
 from stumpwright.llm.common import shared_dir, table
 
 
@@ -19,6 +19,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(spark, path, token_store.all_keys(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(scanned)
@@ -40,6 +48,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,11 +61,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_html": op8_html,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat": op10_chat,
 }
 
