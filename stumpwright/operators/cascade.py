@@ -69,7 +69,8 @@ def feature_value(s: StumpRow, ii: Column, width: Column | int, scale: Column |
     out = None
     for dx, dy, sign in signed_cells(s.kind):
         x, y = s.x + dx * s.w, s.y + dy * s.h
-        corner = lambda v, o: F.lit(v) + (o if isinstance(o, Column) else F.lit(o)) if scale == 1.0 else scaled_corner(F.lit(v), scale, o)
+        plain = not isinstance(scale, Column) and scale == 1.0
+        corner = lambda v, o: F.lit(v) + (o if isinstance(o, Column) else F.lit(o)) if plain else scaled_corner(F.lit(v), scale, o)
         one = rect_sum(ii, width, corner(x, ox), corner(y, oy), corner(x + s.w, ox), corner(y + s.h, oy)) * sign
         out = one if out is None else out + one
     return out
