@@ -144,7 +144,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = S
 def _verified(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, n: int, threshold: tuple[int, int]) -> DataFrame:
     """node, links (documents of other classes at the threshold or above), parent (a linked root in its task)."""
     d = only(docs, d=doc_id, text=text)
-    found = d.join(asked, d["d"].eqNullSafe(asked["rep"])).select("node", "comp", "blocks", "c1", "c2", "copies", "text")
+    # a merge join at every size: what is asked for grows with the documents
+    found = d.join(asked.hint("merge"), d["d"].eqNullSafe(asked["rep"])).select("node", "comp", "blocks", "c1", "c2", "copies", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,4 +218,4 @@ def filtered(docs: DataFrame) -> DataFrame:
 
     Rows that repeat one doc_id are one document and stay together."""
     gone = join(docs).where("doc_id is distinct from class_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
