@@ -48,7 +48,7 @@ def written(df: DataFrame, path: str | None = None, partitions: int | None = Non
     """df written as Parquet in the shared folder and read back: lineage ends there."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,9 @@ least (doc_id, text hash, sentence), and every sentence that another occurrence
 Forward and backward runs together cover any repeated passage of MIN_WORDS words from its first
 whole sentence to its last.
 
-Counts are aggregated before the join, and the join's hot hashes can be split, so a passage that a
-third of all documents share doesn't meet in one task.
+Only hashes are counted first, then the spans of repeated hashes are kept; counts are aggregated
+before they are shuffled and the joins' hot hashes can be split, so a passage that a third of all
+documents share doesn't meet in one task.
 
 Nulls: a null text stays null. Null ids sort first. Rows with equal id and text are one document
 (none of them is the other's repeat). Texts without a repeated span come back as they are, texts
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stumpwright.llm.common import WORD_TABLE, only, utf8, written
@@ -80,12 +81,14 @@ def spans(parts: list[list[bytes]]) -> list[tuple[int, int]]:
     return sorted(forth | back)
 
 
-def _text_hash(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with t, which tells texts of one id apart: 0 where ids are unique, else a hash of the text."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return docs.withColumn("t", F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int") if repeated else F.lit(0))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, t, first, last: the spans of docs (doc_id, text) that aren't the first of their hash."""
+    """doc_id, t, first, last: the spans of docs (doc_id, t, text) that aren't the first of their hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,19 +107,21 @@ def repeats(docs: DataFrame) -> DataFrame:
                 ["h", "doc_id", "t", "first", "last"],
             )
 
-    cut = docs.select("doc_id", _text_hash(F.col("text")).alias("t"), "text").mapInArrow(run, f"h long, doc_id {kind}, t int, first int, last int")
+    cut = docs.select("doc_id", "t", "text").mapInArrow(run, f"h long, doc_id {kind}, t int, first int, last int")
     cut = written(cut)
-    first = cut.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
-    return cut.join(first, "h").where(~F.struct("doc_id", "t", "first").eqNullSafe(F.col("f"))).select("doc_id", "t", "first", "last")
+    again = cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    hits = written(cut.join(again.hint("merge"), "h"))
+    first = hits.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("f"))
+    return hits.join(first.hint("merge"), "h").where(~F.struct("doc_id", "t", "first").eqNullSafe(F.col("f"))).select("doc_id", "t", "first", "last")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, text without repeats, n_sentences, n_removed (sentences)."""
-    d = only(docs, doc_id=doc_id, text=text)
+    d = _keyed(only(docs, doc_id=doc_id, text=text))
     kind = d.schema["doc_id"].dataType.simpleString()
     own = repeats(d).distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     own = own.select(F.col("doc_id").alias("k"), F.col("t").alias("kt"), "gone")
-    both = d.withColumn("t", _text_hash(F.col("text"))).join(own, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")), "left")
+    both = d.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
