@@ -30,7 +30,7 @@ WINDOW = 10
 #: Bytes of patterns that one broadcast automaton holds at most; a pattern of its own size may exceed it.
 PART_BYTES = 32 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_automata: dict[int, object] = {}
+_automata: dict[object, object] = {}
 
 
 def windows(items: DataFrame, n: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -51,20 +51,40 @@ def windows(items: DataFrame, n: int = WINDOW, item_id: str = "item_id", text: s
     return rows.mapInArrow(cut, "pattern string, n_words int, item_id string").distinct()
 
 
-def _automaton(key: int, patterns: list[tuple[str, int, list[str]]]):
+def _parts(patterns: DataFrame) -> Iterator[list[tuple[str, int, list[str]]]]:
+    """(pattern, n_words, item ids) in parts of about PART_BYTES, one after the other."""
+    patterns = written(patterns.groupBy("pattern").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("item_id")).alias("items")))
+    parts = max(1, -(-(patterns.select(F.sum(F.octet_length("pattern") + 16 * F.size("items"))).first()[0] or 0) // PART_BYTES))
+    for part in range(parts):
+        own = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).orderBy("pattern")
+        yield [(r.pattern, r.n_words, r["items"]) for r in own.toLocalIterator()]
+
+
+def _automaton(sent):
+    """The automaton of a broadcast part, built once a worker process."""
+    key = sent._path if getattr(sent, "_path", None) else id(sent)
     if key not in _automata:
         import ahocorasick
 
         _automata.clear()
         a = ahocorasick.Automaton()
-        for pattern, n_words, items in patterns:
+        for pattern, n_words, items in sent.value:
             a.add_word(f" {pattern} ".encode().decode("latin-1"), (n_words, items))
-        if patterns:
+        if sent.value:
             a.make_automaton()
         _automata[key] = a
     return _automata[key]
 
 
+def _found(automaton, words: list[bytes]) -> list[tuple[int, tuple[int, list[str]]]]:
+    """Matches in the normalised text: (end character, (words, items))."""
+    return list(automaton.iter(_flat(words))) if words and len(automaton) else []
+
+
+def _flat(words: list[bytes]) -> str:
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
 _STATE = "n_words long, word_spans array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -72,17 +92,17 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, doc_id: str = "doc_
     """Per document row: doc_id, n_words, n_hit, items (ids with a window in it, as sorted strings)
     and spans (start and end code points of the hit stretches in the original text)."""
     sc = docs.sparkSession.sparkContext
-    patterns = windows(items, n)
-    patterns = written(patterns.groupBy("pattern").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("item_id")).alias("items")))
-    parts = max(1, -(-(patterns.select(F.sum(F.octet_length("pattern") + 16 * F.size("items"))).first()[0] or 0) // PART_BYTES))
     state = only(docs, doc_id=doc_id, text=text)
-    for part in range(parts):
-        own = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).orderBy("pattern")
-        sent = sc.broadcast([(r.pattern, r.n_words, r["items"]) for r in own.toLocalIterator()])
-        state = state.mapInArrow(_scanner(sent, part == 0, part == parts - 1, doc_id), _schema(docs, doc_id, part == parts - 1))
-        if part < parts - 1:
+    first, ahead = True, _parts(windows(items, n))
+    own = next(ahead)
+    while own is not None:
+        after = next(ahead, None)
+        sent = sc.broadcast(own)
+        state = state.mapInArrow(_scanner(sent, first, after is None), _schema(docs, doc_id, after is None))
+        if after is not None:
             state = written(state)
             sent.destroy()
+        first, own = False, after
     return state
 
 
@@ -93,24 +113,22 @@ def _schema(docs: DataFrame, doc_id: str, last: bool) -> str:
     return f"doc_id {kind}, text string, {_STATE}"
 
 
-def _scanner(sent, first: bool, last: bool, doc_id: str):
+def _scanner(sent, first: bool, last: bool):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent._id if hasattr(sent, "_id") else id(sent), sent.value)
-        some = len(automaton) > 0
+        automaton = _automaton(sent)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             before = [None] * len(texts) if first else list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
             out: dict[str, list] = defaultdict(list)
             for t, old in zip(texts, before):
                 words = words_of(t)
-                flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
-                found = list(automaton.iter(flat)) if some and words else []
+                found = _found(automaton, words)
                 items = set(old[1]) if old else set()
                 hits: list[tuple[int, int]] = [(s["start"], s["end"]) for s in old[0]] if old else []
                 if found:
-                    spaces = np.flatnonzero(np.frombuffer(flat.encode("latin-1"), np.uint8) == 32)
+                    spaces = np.flatnonzero(np.frombuffer(_flat(words).encode("latin-1"), np.uint8) == 32)
                     for end, (k, own) in found:
                         stop = int(np.searchsorted(spaces, end))
                         hits.append((stop - k, stop))
@@ -161,7 +179,19 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def filtered(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a window of an item; all columns stay."""
-    bad = scan(docs, items, n).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def filtered(docs: DataFrame, items: DataFrame, n: int = WINDOW, text: str = "text") -> DataFrame:
+    """docs without the documents that hold a window of an item; all columns stay, and no row moves.
+
+    Each part of the patterns is a filter of its own."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text)
+    for own in _parts(windows(items, n)):
+        sent = sc.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(sent)
+            for batch in batches:
+                clean = [not _found(automaton, words_of(t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
