@@ -65,7 +65,8 @@ def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, px, h, w: the first 24 x 24 characters of documents as code points modulo 256."""
     n = IMAGE_WIDTH * IMAGE_HEIGHT
     d = table(spark, sf_dir, "documents").where(F.length("text") >= n)
-    px = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.ascii(F.substr("text", i, F.lit(1))) % 256)
+    characters = F.regexp_extract_all(F.substr("text", F.lit(1), F.lit(n)), F.lit("(?s)."), F.lit(0))
+    px = F.transform(characters, lambda c: F.ascii(c) % 256)
     return d.select(F.col("doc_id").alias("image_id"), px.alias("px"), F.lit(IMAGE_HEIGHT).alias("h"), F.lit(IMAGE_WIDTH).alias("w"))
 
 

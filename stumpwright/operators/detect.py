@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stumpwright.functions.integral import integral_wide, rect_sum, window_std, xml_norm
 from stumpwright.operators.cascade import Cascade, vote
+from stumpwright.operators.haar import signed_cells
 
 
 def pyramid(base: tuple[int, int], image: tuple[int, int], growth: float = 1.25, min_shift: int = 2, min_face: float | None = None, max_face: float | None = None) -> list[tuple[int, float, int, int, int]]:
@@ -73,6 +77,56 @@ def detections(images: DataFrame, model: Cascade, width: int, height: int, min_s
     return out.select("image_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.col("margin").alias("score"))
 
 
+def detections_arrow(images: DataFrame, model: Cascade, min_score: float | None = None, **pyramid_options) -> DataFrame:
+    """As ``detections``, for images of any size (h, w per row): an image's windows are arrays, and
+    only its detections become rows. A large image then costs its pixels, not its pixels per window.
+    """
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, h, w, px in zip(*(batch.column(c) for c in range(4))):
+                found = _image_windows(px.values.to_numpy(zero_copy_only=False), h.as_py(), w.as_py(), model, pyramid_options)
+                if min_score is not None:
+                    found = [x[found[4] >= min_score] for x in found]
+                ids = pa.array([image.as_py()] * len(found[0]), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in found[:4]), pa.array(found[4])], ["image_id", "x1", "y1", "x2", "y2", "score"])
+
+    return images.select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, score double")
+
+
+def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
+    """x1, y1, x2, y2, score of the windows of one image that pass every stage."""
+    a = px.astype(np.int64).reshape(h, w)
+    ii, ii2 = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel() for x in (a, a * a))
+    row = w + 1
+
+    def sums(t: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        return t[y2 * row + x2] - t[y1 * row + x2] - t[y2 * row + x1] + t[y1 * row + x1]
+
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
+    for _, scale, win_w, win_h, step in pyramid((model.width, model.height), (w, h), **options):
+        y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h - win_h + 1, step), np.arange(0, w - win_w + 1, step), indexing="ij"))
+        area = float(win_w * win_h)
+        mean = sums(ii, x, y, x + win_w, y + win_h) / area
+        std = np.maximum(np.sqrt(np.maximum(sums(ii2, x, y, x + win_w, y + win_h) / area - mean * mean, 0.0)), 1.0)
+        margin = np.zeros(len(x))
+        for stage in model.stages:
+            total = np.zeros(len(x))
+            for s in stage.stumps:
+                value = 0
+                for dx, dy, sign in signed_cells(s.kind):
+                    left, top = s.x + dx * s.w, s.y + dy * s.h
+                    value = value + sign * sums(ii, x + int(left * scale), y + int(top * scale), x + int((left + s.w) * scale), y + int((top + s.h) * scale))
+                total += s.alpha * (s.polarity * value < s.polarity * s.threshold * (scale * scale) * std)
+            vote_ = total / stage.total
+            alive = vote_ >= stage.threshold
+            margin = (margin + vote_ - stage.threshold)[alive]
+            x, y, std = x[alive], y[alive], std[alive]
+        out.append([x, y, x + win_w, y + win_h, margin])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def shrink_levels(image: tuple[int, int], base: tuple[int, int], growth: float = 1.25) -> list[tuple[int, float, int, int]]:
     """(level, scale, width, height) of an image pyramid that shrinks the image instead of growing the window."""
     out: list[tuple[int, float, int, int]] = []
