@@ -36,42 +36,67 @@ MIN_SENTENCES = 2
 MIN_WORDS = 28
 MAX_SENTENCE = 16
 CUT = 8
-_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
-_TOKEN = re.compile(r"\s*\S+\s*")
+_END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def _ends(raw: bytes) -> list[int]:
+    ends = [m.end() for m in _END.finditer(raw)]
+    return ends if ends and ends[-1] == len(raw) or not raw else [*ends, len(raw)]
+
+
+def _cuts(words: list[bytes]) -> list[int]:
+    """Where a sentence of these words is cut: numbers of words before each further part."""
+    if len(words) <= MAX_SENTENCE:
+        return []
+    return [i for i, w in enumerate(words[:-1], 1) if zlib.crc32(w) % CUT == 0]
 
 
 def sentences(text: str) -> list[tuple[str, list[bytes]]]:
-    """(raw text with the white space after it, normalised words) of each sentence; the raw texts
+    """(raw text with what follows up to the next, normalised words) of each sentence; the raw texts
     join to the text."""
-    out, at = [], 0
-    ends = [m.end() for m in _END.finditer(text)]
-    for end in [*ends, len(text)]:
-        raw, at = text[at:end], end
-        if not raw:
-            continue
-        words = utf8(raw).translate(WORD_TABLE).split()
-        if len(words) <= MAX_SENTENCE:
-            out.append((raw, words))
-            continue
-        part, have = [], []
-        for token in _TOKEN.findall(raw):
-            part.append(token)
-            own = utf8(token).translate(WORD_TABLE).split()
-            have += own
-            if own and zlib.crc32(own[-1]) % CUT == 0:
-                out.append(("".join(part), have))
-                part, have = [], []
-        if part:
-            out.append(("".join(part), have))
-    return out
-
-
-def spans(parts: list[list[bytes]]) -> list[tuple[int, int]]:
-    """(first, last) sentence of each forward and backward run; sentences without words don't count."""
-    own = [i for i, w in enumerate(parts) if w]
+    raw, out, at = utf8(text), [], 0
+    norm = raw.translate(WORD_TABLE)
+    for end in _ends(raw):
+        words = norm[at:end].split()
+        if cuts := _cuts(words):
+            starts = [m.start() for m in _WORD.finditer(raw, at, end)]
+            for i, k in zip([0, *cuts], [*cuts, len(words)]):
+                stop = starts[k] if k < len(words) else end
+                out.append((raw[at:stop], words[i:k]))
+                at = stop
+        else:
+            out.append((raw[at:end], words))
+        at = end
+    return [(r.decode("utf-8", "surrogatepass"), w) for r, w in out]
+
+
+def units(text: str) -> tuple[bytes, list[int], list[int], list[int]]:
+    """The normalised words of all sentences joined by spaces; each sentence's start and end therein,
+    and its number of words. The sentences are those of ``sentences``."""
+    raw, groups, at = utf8(text), [], 0
+    norm = raw.translate(WORD_TABLE)
+    for end in _ends(raw):
+        words = norm[at:end].split()
+        at = end
+        cuts = _cuts(words)
+        groups += [words[i:k] for i, k in zip([0, *cuts], [*cuts, len(words)])] if cuts else [words]
+    parts = [b" ".join(w) for w in groups]
+    starts, ends, pos = [], [], 0
+    for p in parts:
+        starts.append(pos)
+        ends.append(pos + len(p))
+        pos += len(p) + 1 if p else 0
+    return b" ".join(filter(None, parts)), starts, ends, [len(w) for w in groups]
+
+
+def spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, last) sentence of each forward and backward run, by the sentences' numbers of words;
+    sentences without words don't count."""
+    own = [i for i, n in enumerate(sizes) if n]
     if len(own) < MIN_SENTENCES:
         return []
-    size = np.array([len(parts[i]) for i in own])
+    size = np.array([sizes[i] for i in own])
     total = np.r_[0, np.cumsum(size)]
     k = np.arange(len(own))
     ends = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, k + MIN_SENTENCES - 1)
@@ -95,10 +120,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             row, h, first, last = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                parts = [w for _, w in sentences(text)] if text else []
-                for a, b in spans(parts):
+                if not text:
+                    continue
+                words, starts, ends, sizes = units(text)
+                for a, b in spans(sizes):
                     row.append(i)
-                    h.append(xxhash.xxh3_64_intdigest(b" ".join(b" ".join(w) for w in parts[a : b + 1] if w)))
+                    h.append(xxhash.xxh3_64_intdigest(words[starts[a] : ends[b]]))
                     first.append(a)
                     last.append(b)
             at = pa.array(row, pa.int32())
@@ -116,7 +143,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, text without repeats, n_sentences, n_removed (sentences)."""
+    """Per document row: doc_id, text without repeats, n_removed (sentences)."""
     d = _keyed(only(docs, doc_id=doc_id, text=text))
     kind = d.schema["doc_id"].dataType.simpleString()
     own = repeats(d).distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
@@ -125,13 +152,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = [], [], []
+            texts, removed = [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts = sentences(text) if text else []
                 drop = {i for g in gone or () for i in range(g["first"], g["last"] + 1)}
-                texts.append("".join(raw for i, (raw, _) in enumerate(parts) if i not in drop).strip() if drop else text)
-                counts.append(len(parts))
+                texts.append("".join(raw for i, (raw, _) in enumerate(sentences(text)) if i not in drop).strip() if drop else text)
                 removed.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], ["doc_id", "text", "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "n_removed"])
 
-    return both.select("doc_id", "text", "gone").mapInArrow(run, f"doc_id {kind}, text string, n_sentences int, n_removed int")
+    return both.select("doc_id", "text", "gone").mapInArrow(run, f"doc_id {kind}, text string, n_removed int")
