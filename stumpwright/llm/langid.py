@@ -119,8 +119,11 @@ class Model:
         for name in self.langs:
             raw = b" ".join(texts[name])
             moves = suffix_automaton(raw.translate(self.classes), width)
-            start = np.maximum(moves[0], 0)[None, :]
+            unseen = len(moves)  # a state of its own: such a byte is a phrase
+            moves = np.vstack([moves, np.full((1, width), -1, np.int32)])
+            start = np.where(moves[0] >= 0, moves[0], unseen)[None, :]
             table = np.where(moves >= 0, moves * (2 * width), start * (2 * width) + 1)
+            table[0] = start * (2 * width)
             table[:, width - 1] = np.arange(len(moves)) * (2 * width)
             self.tables.append(table.astype(np.int32).ravel())
             self.logs.append(math.log2(max(2, len(raw))))

@@ -6,7 +6,7 @@
    the threshold. Classes that share a band hash are tied to the least of them (a star, not all
    pairs); components of the stars are the candidate groups.
 3. Within a group every pair is verified on full n-gram sets by sparse counts as matrix products.
-   Groups over BLOCK classes are cut into blocks, and each pair of blocks is one task's work, so a
+   Groups over BLOCK classes or BLOCK_SHINGLES shingles are cut into blocks, and each pair of blocks is one task's work, so a
    large group spreads out and no row per pair is made. Links are the pairs of at least THRESHOLD.
 4. Components of the verified links are the groups of near copies.
 
@@ -38,6 +38,8 @@ THRESHOLD = (4, 5)
 RECALL = 0.999
 ROWS = 6
 BLOCK = 512
+#: Shingles of a block, on average, at most.
+BLOCK_SHINGLES = 1_000_000
 #: Shingles of small candidate groups that one task verifies, on average.
 TASK_SHINGLES = 1_000_000
 _COLUMNS = 1 << 14
@@ -119,17 +121,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = S
     bands = bands_for(threshold[0] / threshold[1], rows, recall)
     sig = written(signatures(docs, doc_id, text, n, bands, rows))
     kind = docs.schema[doc_id].dataType.simpleString()
-    classes = sig.where("n > 0").groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = sig.where("n > 0").groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     hashed = classes.select("node", F.explode("bands").alias("h"))
     least = hashed.groupBy("h").agg(F.min("node").alias("m"), F.count("*").alias("k")).where("k > 1").select("h", "m")
     stars = hashed.join(least, "h").where("node > m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     candidates = components(stars)
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = written(
-        candidates.join(sizes, "root").join(classes.select("node", "rep", "c1", "c2", "copies"), "node")
-        .select("node", F.col("root").alias("comp"), "blocks", "rep", "c1", "c2", "copies")
-    )
+    members = candidates.join(classes.select("node", "rep", "c1", "c2", "copies", "n"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("root").agg(blocks.alias("blocks"))
+    asked = written(members.join(sizes, "root").select("node", F.col("root").alias("comp"), "blocks", "rep", "c1", "c2", "copies", "n"))
     checked = written(_verified(docs, asked, doc_id, text, n, threshold))
     roots = components(checked.select(F.col("node").alias("u"), F.col("parent").alias("v")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -155,7 +156,7 @@ def _verified(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, n: int,
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.binary())], ["node", "comp", "blocks", "copies", "sh"]).filter(pa.array(same, pa.bool_()))
 
     s = found.mapInArrow(sets, "node long, comp long, blocks int, copies long, sh binary")
-    tasks = max(1, -(-(asked.where("blocks = 1").count() * 600) // TASK_SHINGLES))
+    tasks = max(1, -(-(asked.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     small = s.where("blocks = 1").select("*", F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("comp"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("own"))
     large = s.where("blocks > 1").select("*", F.col("comp").alias("g"), own.alias("own")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
