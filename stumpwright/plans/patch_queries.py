@@ -254,7 +254,7 @@ def stage_survival(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.survival(cascade.long_scores(s), cascade.thresholds(m)).select("patch_id", "stage", "alive", *r6("running_margin"))
 
 
-@query(f"WITH {D.SCORES} SELECT q, round(v, 6) AS value FROM (SELECT unnest({list(metrics.QUANTILES)!r}) AS q, unnest(quantile_cont(margin, {list(metrics.QUANTILES)!r})) AS v FROM ver WHERE y = 1)")
+@query(f"WITH {D.SCORES} SELECT CAST(q AS DOUBLE) AS q, round(v, 6) AS value FROM (SELECT unnest({list(metrics.QUANTILES)!r}) AS q, unnest(quantile_cont(margin, {list(metrics.QUANTILES)!r})) AS v FROM ver WHERE y = 1)")
 def score_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.quantiles(_verdicts(spark, sf).where("y = 1")).select(F.col("q").cast("double").alias("q"), *r6("value"))
 

@@ -51,7 +51,9 @@ def test_training_resumes_and_truncates(spark, sf, tmp_path):
     assert first.stages == whole.stages[:1] == whole.truncated(1).stages
     again, _ = trainer.train(spark, pos, neg, str(tmp_path / "b"), 8, 8, opts, resume=first)
     assert again.stages == whole.stages == models.load(spark, str(tmp_path / "b")).stages
-    assert all(x.recall >= 0.95 for x in logs)
+    for x in logs:  # the floor, the weakest stump's share, may cost recall
+        alphas = [s.alpha for s in x.stumps]
+        assert x.recall >= 0.95 or abs(x.threshold - min(alphas) / sum(alphas)) < 1e-12
     longer = trainer.extend_last(spark, first, pos, neg, str(tmp_path / "c"), 4, opts)
     assert longer.stages[0].stumps[: len(first.stages[0].stumps)] == first.stages[0].stumps
     with pytest.raises(ValueError):
