@@ -8,7 +8,9 @@ check digits stay right. Equal values get equal pseudonyms in every document, di
 distinct ones, and no value is its own pseudonym. ``Pseudonyms.inverse`` undoes it with the key.
 
 Values stay in their class: a card keeps its first digit, an e-mail address its domain and the
-places of digits and letters, an international number its first two digits, an IBAN its country.
+places of digits and letters, an international number its first two digits, an IBAN its country. A
+number laid out as +1 (ddd) ddd-dddd is a telephone number whatever its digits; those that no
+exchange has stay such.
 
 Nulls: a null text stays null, with no finds. Texts are taken whole. Repeated rows are treated
 alike; an empty table gives none; extra columns stay with ``masked`` and are ignored by ``mask``.
@@ -174,6 +176,10 @@ class Pseudonyms:
     def _phone(self, v: str, step: int) -> str:
         d = re.sub(r"\D", "", v)
         lead, own = (d[:-10], d[-10:]) if len(d) <= 11 and not (v[0] == "+" and d[0] != "1") else (d[:2], d[2:])
+        regular = lambda own: own[0] > "1" and own[3] > "1"
+        if len(own) == 10 and lead in ("", "1") and not regular(own):
+            r = self._moved("phone other", 10**10, int(own), step, lambda r: not regular(str(r).zfill(10)))
+            return _put(v, lead + str(r).zfill(10))
         if len(own) == 10 and lead in ("", "1"):
             r = self._moved("phone", 800 * 800 * 10_000, ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:]), step)
             r, line = divmod(r, 10_000)
@@ -207,7 +213,7 @@ _CARD = re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
 _SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)")
 _PHONE = re.compile(
-    r"(?<![\w.+-])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|\+[2-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}|\+1\d{10})(?!\w|[.-]\d)"
+    r"(?<![\w.+-])(?:\+1 \(\d{3}\) \d{3}-\d{4}|(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|\+[2-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}|\+1\d{10})(?!\w|[.-]\d)"
 )
 _DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}/\d{2}/\d{4}|\d{2}([.-])\d{2}\2\d{4})(?!\w|[./-]\d)")
 _ANY = re.compile("[0-9@]")

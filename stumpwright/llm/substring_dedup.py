@@ -2,7 +2,7 @@
 
 A text is cut into sentences (after . ! or ? before white space, and at line breaks; a sentence of
 more than MAX_SENTENCE words is cut after the words whose hash CUT divides, so equal stretches of
-long sentences are cut alike). From each sentence on, and back from
+long sentences are cut alike; a part without such a word is cut every MAX_PART words). From each sentence on, and back from
 each, the shortest run of MIN_SENTENCES sentences and MIN_WORDS words or more is a span, hashed
 over its normalised words. Spans are joined globally by hash; the first occurrence is the one of
 least (doc_id, text hash, sentence), and every sentence that another occurrence covers is removed.
@@ -36,6 +36,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 28
 MAX_SENTENCE = 16
 CUT = 8
+MAX_PART = 32
 _END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -49,7 +50,10 @@ def _cuts(words: list[bytes]) -> list[int]:
     """Where a sentence of these words is cut: numbers of words before each further part."""
     if len(words) <= MAX_SENTENCE:
         return []
-    return [i for i, w in enumerate(words[:-1], 1) if zlib.crc32(w) % CUT == 0]
+    cuts = [i for i, w in enumerate(words[:-1], 1) if zlib.crc32(w) % CUT == 0]
+    if max(b - a for a, b in zip([0, *cuts], [*cuts, len(words)])) <= MAX_PART:
+        return cuts
+    return [k for a, b in zip([0, *cuts], [*cuts, len(words)]) for k in range(a or MAX_PART, b, MAX_PART)]
 
 
 def sentences(text: str) -> list[tuple[str, list[bytes]]]:

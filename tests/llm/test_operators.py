@@ -66,6 +66,8 @@ def test_pseudonyms_round_trip_and_link():
         w = names.replace(kind, v)
         assert w != v and len(w) == len(v) or kind == "ip"
         assert names.inverse(kind, w) == v and names.replace(kind, v) == w and pii.Pseudonyms(b"other").replace(kind, v) != w
+    other = "+1 (136) 055-7479"
+    assert pii.find(other) == [(0, 17, "phone")] and names.inverse("phone", names.replace("phone", other)) == other != names.replace("phone", other)
     assert pii.replaced("version 1.2.3.4.5, 1234567890123456, 31/31/2020, 300.1.1.1, a@b", names)[0] == "version 1.2.3.4.5, 1234567890123456, 31/31/2020, 300.1.1.1, a@b"
 
 
