@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stumpwright.functions.integral import integral_wide, rect_sum, window_std, xml_norm
+from stumpwright.functions.resample import resize_array
 from stumpwright.operators.cascade import Cascade, vote
 from stumpwright.operators.haar import signed_cells
 
@@ -71,10 +72,11 @@ def detections(images: DataFrame, model: Cascade, width: int, height: int, min_s
     for stage in model.stages:
         v = vote(stage, F.col("ii"), width, F.col("std"), F.col("scale"), F.col("ox"), F.col("oy"))
         out = out.withColumn("vote", v).where(F.col("vote") >= stage.threshold).withColumn("margin", F.col("margin") + F.col("vote") - stage.threshold)
-    if min_score is not None:
-        out = out.where(F.col("margin") >= min_score)
     x1, y1, x2, y2 = _corners()
-    return out.select("image_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.col("margin").alias("score"))
+    found = out.select("image_id", F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.col("margin").alias("score")).alias("d"))
+    if min_score is not None:
+        found = found.select("image_id", F.explode(F.filter(F.array("d"), lambda d: d["score"] >= min_score)).alias("d"))
+    return found.select("image_id", "d.*")
 
 
 def detections_arrow(images: DataFrame, model: Cascade, min_score: float | None = None, **pyramid_options) -> DataFrame:
@@ -127,16 +129,10 @@ def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def shrink_levels(image: tuple[int, int], base: tuple[int, int], growth: float = 1.25) -> list[tuple[int, float, int, int]]:
+def shrink_levels(image: tuple[int, int], base: tuple[int, int], growth: float = 1.25, min_face: float | None = None, max_face: float | None = None) -> list[tuple[int, float, int, int]]:
     """(level, scale, width, height) of an image pyramid that shrinks the image instead of growing the window."""
-    out: list[tuple[int, float, int, int]] = []
-    scale = 1.0
-    while True:
-        w, h = max(base[0], round(image[0] / scale)), max(base[1], round(image[1] / scale))
-        if image[0] / scale < base[0] or image[1] / scale < base[1]:
-            return out
-        out.append((len(out), scale, w, h))
-        scale *= growth
+    levels = pyramid(base, image, growth, 1, min_face, max_face)
+    return [(k, s, max(base[0], round(image[0] / s)), max(base[1], round(image[1] / s))) for k, s, *_ in levels]
 
 
 # The other model format: rectangles with weights, two leaves a stump, sums against a stage threshold.
@@ -188,6 +184,52 @@ def leaf_verdicts(patches: DataFrame, model: LeafCascade) -> DataFrame:
     return p.drop("ii", "ii2", "norm", "sum")
 
 
+def leaf_detections(images: DataFrame, model: LeafCascade, step: int = 2, min_score: float | None = None, **pyramid_options) -> DataFrame:
+    """image_id, x1..y2, score: windows of the base size that pass every stage on shrunken images, in
+    image pixels. images: image_id, h, w, px."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, h, w, px in zip(*(batch.column(c) for c in range(4))):
+                a = px.values.to_numpy(zero_copy_only=False).astype(float).reshape(h.as_py(), w.as_py())
+                found = _leaf_windows(a, model, step, pyramid_options)
+                if min_score is not None:
+                    found = [x[found[4] >= min_score] for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * len(found[0]), batch.schema.field(0).type), *map(pa.array, found)], ["image_id", "x1", "y1", "x2", "y2", "score"])
+
+    return images.select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 double, y1 double, x2 double, y2 double, score double")
+
+
+def _leaf_windows(a: np.ndarray, model: LeafCascade, step: int, options: dict) -> list[np.ndarray]:
+    (height, width), (bw, bh) = a.shape, (model.width, model.height)
+    out = [[np.zeros(0)] * 5]
+    for _, _, w, h in shrink_levels((width, height), (bw, bh), **options):
+        small = resize_array(a, h, w).astype(np.int64)
+        ii, ii2 = (np.pad(t.cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel() for t in (small, small * small))
+        row = w + 1
+        y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h - bh + 1, step), np.arange(0, w - bw + 1, step), indexing="ij"))
+
+        def sums(t: np.ndarray, dx: int, dy: int, rw: int, rh: int) -> np.ndarray:
+            x1, y1 = x + dx, y + dy
+            return (t[(y1 + rh) * row + x1 + rw] - t[y1 * row + x1 + rw] - t[(y1 + rh) * row + x1] + t[y1 * row + x1]).astype(float)
+
+        total = sums(ii, 0, 0, bw, bh)
+        norm = np.maximum(np.sqrt(np.maximum(bw * bh * sums(ii2, 0, 0, bw, bh) - total * total, 0.0)), 1.0)
+        score = np.zeros(len(x))
+        for stage in model.stages:
+            leaves = np.zeros(len(x))
+            for s in stage.stumps:
+                value = sum(k * sums(ii, *rect) for *rect, k in s.rects)
+                leaves += np.where(value < s.threshold * norm, s.left, s.right)
+            alive = leaves >= stage.threshold
+            score = (score + leaves - stage.threshold)[alive]
+            x, y, norm = x[alive], y[alive], norm[alive]
+        sx, sy = width / w, height / h
+        out.append([x * sx, y * sy, (x + bw) * sx, (y + bh) * sy, score])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """n, agree, rate of two verdict tables (patch_id, passed); a patch that one of them lacks disagrees."""
     j = a.select("patch_id", F.col("passed").alias("pa")).join(b.select("patch_id", F.col("passed").alias("pb")), "patch_id", "full_outer")

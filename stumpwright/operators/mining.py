@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.functions.arithmetic import sample_order
+from stumpwright.functions.arithmetic import chain, sample_order
 from stumpwright.operators.cascade import Cascade, accepted
+from stumpwright.operators.dataset import crop
 
 
 def mine(pool: DataFrame, model: Cascade, target: int, budget: int, seed: int = 0) -> DataFrame:
@@ -56,3 +59,43 @@ def mine_stratified(pool: DataFrame, model: Cascade, target: int, budget: int, s
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def mine_raw(images: DataFrame, model: Cascade, width: int, target: int, budget: int, per_image: int, seed: int = 0) -> DataFrame:
+    """Accepted crops from passes over images, fresh places each pass, until target or budget.
+
+    images: image_id, px, h, w, all of one width. Passes run in growing batches, each one job over
+    the images; the crops count in the order (pass, hashed image, crop), so batching changes nothing.
+    Returns image_id, pass, k, ox, oy, px.
+    """
+    side = model.width
+    big = images.where((F.col("w") >= side) & (F.col("h") >= side)).select("image_id", "px", "w", "h")
+    per_pass = big.count() * per_image
+    if not per_pass or target <= 0 or budget <= 0:
+        return _raw_crops(big, width, side, per_image, seed, 0, 0).limit(0)
+    last, first, have, parts = math.ceil(budget / per_pass), 0, 0, []
+    size = 1
+    while first < last and have < target:
+        stop = min(last, first + size)
+        crops = _raw_crops(big, width, side, per_image, seed, first, stop - 1)
+        order = ["pass", sample_order(F.col("image_id"), seed), "image_id", "k"]
+        left = budget - first * per_pass
+        if left < (stop - first) * per_pass:
+            crops = crops.orderBy(*order).limit(left)
+        part = accepted(crops.withColumn("patch_id", F.col("image_id")), model).orderBy(*order).limit(target - have).drop("patch_id").persist()
+        have += part.count()
+        parts.append(part)
+        first, size = stop, size * 2
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _raw_crops(images: DataFrame, width: int, side: int, per_image: int, seed: int, first: int, last: int) -> DataFrame:
+    """A crop per image, pass first..last and k; places are hashes of (image, pass, k)."""
+    c = images.withColumn("pass", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_image - 1))))
+    slot = F.col("image_id") * 1009 + F.col("pass") * 31 + F.col("k")
+    place = lambda s, span: (F.floor(chain(slot, 3, seed + s) / 64) % (span - side + 1)).cast("int")
+    c = c.withColumn("ox", place(0, F.col("w"))).withColumn("oy", place(1, F.col("h")))
+    return c.select("image_id", "pass", "k", "ox", "oy", crop(F.col("px"), width, F.col("ox"), F.col("oy"), side, side).alias("px"))

@@ -9,6 +9,7 @@ from stumpwright import fixtures as X
 from stumpwright.functions.arithmetic import sample_order
 from stumpwright.operators import dataset
 from stumpwright.plans import duck as D
+from stumpwright.plans import prepare
 from stumpwright.plans.patch_queries import r6
 from stumpwright.plans.registry import query
 from stumpwright.sources import annotations, images, models
@@ -257,6 +258,27 @@ def merged_splits(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.merged_splits(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0")).select("file_name")
 
 
+_FACES = f"""{D.PATCH}, fc AS (SELECT patch_id AS id, CASE WHEN split = 'test' THEN 'test' ELSE 'train' END AS split, source, y FROM patch),
+va AS (SELECT id FROM fc WHERE split = 'train' AND y = 1 AND source = 'src0' ORDER BY {D.order('id', 42)}, id LIMIT 30),
+tr AS (SELECT id FROM fc WHERE split = 'train' AND y = 1 AND source IN ('src0', 'src1') AND id NOT IN (SELECT id FROM va)
+       QUALIFY row_number() OVER (PARTITION BY source ORDER BY {D.order('id', 42)}, id) <= 40)"""
+
+
+@query(f"""WITH {_FACES}
+SELECT 'val_pos' AS split, id FROM va UNION ALL SELECT 'train_pos', id FROM tr, range(0, 4) UNION ALL
+SELECT 'neg_seed', id FROM fc, range(0, 2) WHERE split = 'train' AND y = 0 AND source = 'src0' UNION ALL
+SELECT 'caltech_pool', id FROM (SELECT id FROM fc WHERE y = 0 AND source = 'src2' ORDER BY {D.order('id', 42)}, id LIMIT 50) UNION ALL
+SELECT CASE WHEN y = 1 THEN 'test_pos' ELSE 'test_neg' END, id FROM fc WHERE split = 'test' AND source = 'src0'""")
+def prepare_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole bundle: 6 x 6 patches, jitter 1, mirror images, mixed negatives."""
+    p = X.patches(spark, sf)
+    split = F.when(F.col("split") == "test", "test").otherwise("train")
+    faces = p.select(F.col("patch_id").alias("id"), split.alias("split"), "source", F.col("y").alias("label"), "px")
+    pool = p.where("y = 0 and source = 'src2'").select(F.col("patch_id").alias("id"), dataset.crop(F.col("px"), X.SIDE, F.lit(1), F.lit(1), 6, 6).alias("px"))
+    plan = prepare.Plan(("src0", "src1"), "src0", 40, 30, "mixed", 50, jitter=1)
+    return prepare.prepare(faces, pool, plan, 6).select("split", "id")
+
+
 @query(f"WITH {D.PATCH} SELECT split, count(*) AS n, CAST(sum(len(px)) AS BIGINT) AS pixels, 8 AS resolution FROM patch GROUP BY split")
 def bundle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """The manifest of a bundle written by split and read back."""

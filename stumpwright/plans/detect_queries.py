@@ -10,8 +10,9 @@ from stumpwright.functions import geometry as G
 from stumpwright.operators import detect, evaluation, nms
 from stumpwright.operators.haar import signed_cells
 from stumpwright.plans import duck as D
-from stumpwright.plans.patch_queries import _model, r6
+from stumpwright.plans.patch_queries import XML, _model, r6
 from stumpwright.plans.registry import query
+from stumpwright.sources.xml_cascade import parse_cascade
 
 _IMAGE = (X.IMAGE_WIDTH, X.IMAGE_HEIGHT)
 _SCALES = """sca AS (
@@ -28,7 +29,7 @@ def pyramid_scales(spark: SparkSession, sf: str) -> DataFrame:
     return detect.scales(spark, (8, 8), (640, 640), max_face=200)
 
 
-@query("WITH RECURSIVE g(level, scale) AS (SELECT 0, CAST(1.0 AS DOUBLE) UNION ALL SELECT level + 1, scale * 1.25 FROM g WHERE 320 / (scale * 1.25) >= 24 AND 240 / (scale * 1.25) >= 24) SELECT CAST(level AS INTEGER) AS level, round(scale, 6) AS scale, CAST(greatest(24, round_even(320 / scale, 0)) AS INTEGER) AS w, CAST(greatest(24, round_even(240 / scale, 0)) AS INTEGER) AS h FROM g")
+@query("WITH RECURSIVE g(level, scale) AS (SELECT 0, CAST(1.0 AS DOUBLE) UNION ALL SELECT level + 1, scale * 1.25 FROM g WHERE trunc(24 * scale * 1.25) <= 240) SELECT CAST(level AS INTEGER) AS level, round(scale, 6) AS scale, CAST(greatest(24, round_even(320 / scale, 0)) AS INTEGER) AS w, CAST(greatest(24, round_even(240 / scale, 0)) AS INTEGER) AS h FROM g")
 def shrink_pyramid(spark: SparkSession, sf: str) -> DataFrame:
     rows = detect.shrink_levels((320, 240), (24, 24))
     return spark.createDataFrame(rows, "level int, scale double, w int, h int").withColumn("scale", F.round("scale", 6))
@@ -70,6 +71,27 @@ def detect_windows(spark: SparkSession, sf: str) -> DataFrame:
     return detect.detections(X.text_images(spark, sf), _model(spark), *_IMAGE).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
 
 
+@query(f"""WITH {D.IMAGE_II}, w AS (SELECT image_id, ii, ii2, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy FROM iil, range(0, 17, 2) AS a(ox), range(0, 17, 2) AS b(oy)),
+n AS (SELECT *, greatest(sqrt(greatest(64.0 * {D.rect("ii2", "ox", "oy", "ox + 8", "oy + 8")} - CAST({D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")} AS DOUBLE) * {D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")}, 0)), 1.0) AS nf,
+  CAST(2 * {D.rect("ii", "ox + 2", "oy", "ox + 6", "oy + 8")} - {D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")} AS DOUBLE) AS f0,
+  CAST(2 * {D.rect("ii", "ox", "oy + 2", "ox + 8", "oy + 4")} - {D.rect("ii", "ox", "oy", "ox + 8", "oy + 4")} AS DOUBLE) AS f1,
+  CAST(9 * {D.rect("ii", "ox + 3", "oy + 3", "ox + 5", "oy + 5")} - {D.rect("ii", "ox + 1", "oy + 1", "ox + 7", "oy + 7")} AS DOUBLE) AS f2 FROM w),
+s AS (SELECT image_id, ox, oy, round(CAST(CASE WHEN f0 < -0.01 * nf THEN 0.6 ELSE -0.5 END + CASE WHEN f1 < 0.02 * nf THEN -0.4 ELSE 0.3 END + 0.4 AS DOUBLE), 9) AS a,
+  round(CAST(CASE WHEN f2 < 0.0 * nf THEN 0.5 ELSE -0.3 END + CASE WHEN f0 < 0.015 * nf THEN -0.1 ELSE 0.2 END + 0.2 AS DOUBLE), 9) AS b FROM n)
+SELECT image_id, CAST(ox AS DOUBLE) AS x1, CAST(oy AS DOUBLE) AS y1, CAST(ox + 8 AS DOUBLE) AS x2, CAST(oy + 8 AS DOUBLE) AS y2, round(a + b, 6) AS score FROM s WHERE a >= 0 AND b >= 0""")
+def xml_cascade_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """The XML model on the text images at full size (the pyramid's first level)."""
+    return detect.leaf_detections(X.text_images(spark, sf), parse_cascade(XML), max_face=8).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
+
+
+@query()
+def mine_raw_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted crops from passes over the text images, 300 at most of 4000 tried."""
+    from stumpwright.operators import mining
+
+    return mining.mine_raw(X.text_images(spark, sf), _model(spark), X.IMAGE_WIDTH, 300, 4000, 2, 5)
+
+
 def _nms_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return X.boxes(spark, sf).where("id % 5 = 0").select("image_id", "id", "score", "x1", "y1", "x2", "y2")
 

@@ -379,13 +379,16 @@ XML = """<cascade><width>8</width><height>8</height>
 </features></cascade>"""
 
 
-@query(f"""WITH {D.PATCH}, nf AS (SELECT patch_id, greatest(sqrt(greatest(64.0 * sum(p * p) - CAST(sum(p) AS DOUBLE) * sum(p), 0)), 1.0) AS nf FROM px GROUP BY patch_id),
-rc(f, x, y, w, h, k) AS (VALUES (0, 0, 0, 8, 8, -1), (0, 2, 0, 4, 8, 2), (1, 0, 0, 8, 4, -1), (1, 0, 2, 8, 2, 2), (2, 1, 1, 6, 6, -1), (2, 3, 3, 2, 2, 9)),
+_LEAF = f"""nf AS (SELECT patch_id, greatest(sqrt(greatest(64.0 * sum(p * p) - CAST(sum(p) AS DOUBLE) * sum(p), 0)), 1.0) AS nf FROM px GROUP BY patch_id),
+lrc(f, x, y, w, h, k) AS (VALUES (0, 0, 0, 8, 8, -1), (0, 2, 0, 4, 8, 2), (1, 0, 0, 8, 4, -1), (1, 0, 2, 8, 2, 2), (2, 1, 1, 6, 6, -1), (2, 3, 3, 2, 2, 9)),
 ls(stage, f, thr, l, r) AS (VALUES (0, 0, -0.01, 0.6, -0.5), (0, 1, 0.02, -0.4, 0.3), (1, 2, 0.0, 0.5, -0.3), (1, 0, 0.015, -0.1, 0.2)),
-v AS (SELECT patch_id, f, sum(k * p) AS v FROM px JOIN rc ON px.c >= x AND px.c < x + w AND px.r >= rc.y AND px.r < rc.y + h GROUP BY patch_id, f),
-s AS (SELECT patch_id, stage, sum(CASE WHEN v < thr * nf THEN l ELSE ls.r END) AS s FROM ls JOIN v USING (f) JOIN nf USING (patch_id) GROUP BY patch_id, stage),
-t AS (SELECT patch_id, max(CAST(s AS DOUBLE)) FILTER (stage = 0) + 0.4 AS a, max(CAST(s AS DOUBLE)) FILTER (stage = 1) + 0.2 AS b FROM s GROUP BY patch_id)
-SELECT patch_id, round(a, 9) >= 0 AND round(b, 9) >= 0 AS passed, round(CASE WHEN round(a, 9) < 0 THEN 0 WHEN round(b, 9) < 0 THEN a ELSE a + b END, 6) AS score FROM t""")
+lv AS (SELECT patch_id, f, sum(k * p) AS v FROM px JOIN lrc AS rc ON px.c >= x AND px.c < x + w AND px.r >= rc.y AND px.r < rc.y + h GROUP BY patch_id, f),
+lsum AS (SELECT patch_id, stage, sum(CASE WHEN v < thr * nf THEN l ELSE ls.r END) AS s FROM ls JOIN lv USING (f) JOIN nf USING (patch_id) GROUP BY patch_id, stage),
+lt AS (SELECT patch_id, max(CAST(s AS DOUBLE)) FILTER (stage = 0) + 0.4 AS a, max(CAST(s AS DOUBLE)) FILTER (stage = 1) + 0.2 AS b FROM lsum GROUP BY patch_id),
+xv AS (SELECT patch_id, round(a, 9) >= 0 AND round(b, 9) >= 0 AS passed, round(CASE WHEN round(a, 9) < 0 THEN 0 WHEN round(b, 9) < 0 THEN a ELSE a + b END, 6) AS score FROM lt)"""
+
+
+@query(f"WITH {D.PATCH}, {_LEAF} SELECT patch_id, passed, score FROM xv")
 def xml_cascade_scores(spark: SparkSession, sf: str) -> DataFrame:
     return detect.leaf_verdicts(X.patches(spark, sf), parse_cascade(XML)).select("patch_id", "passed", *r6("score"))
 
@@ -397,3 +400,24 @@ def parity_rate(spark: SparkSession, sf: str) -> DataFrame:
     m = _model(spark).truncated(2)
     other = cascade.verdicts(cascade.stage_scores(X.patches(spark, sf).where("patch_id % 7 <> 0"), m), m)
     return detect.parity(_verdicts(spark, sf), other).select("n", "agree", F.round("rate", 6).alias("rate"))
+
+
+def _rates_of(name: str, verdicts: str) -> str:
+    return f"SELECT '{name}' AS detector, tp, tn, fp, fn, {_RATES} FROM (SELECT {_COUNTS} FROM {verdicts})"
+
+
+@query(f"""WITH {D.SCORES}, {_LEAF}, {", ".join(f"t{k} AS (SELECT patch_id, y, bool_and(score >= threshold) AS passed FROM sc WHERE stage < {k} GROUP BY patch_id, y)" for k in (1, 2, 3))},
+x AS (SELECT patch_id, y, passed FROM xv JOIN patch USING (patch_id))
+{" UNION ALL ".join([_rates_of(f"stages_{k}", f"t{k}") for k in (1, 2, 3)] + [_rates_of("xml", "x")])}""")
+def detector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of counts and rates per detector: the cascade at every depth, and the XML model."""
+    p, m = X.patches(spark, sf), _model(spark)
+    found = {"xml": detect.leaf_verdicts(p, parse_cascade(XML))}
+    for k in (1, 2, 3):
+        short = m.truncated(k)
+        found[f"stages_{k}"] = cascade.verdicts(cascade.stage_scores(p, short), short)
+    out = None
+    for name, v in found.items():
+        one = metrics.confusion(v).select(F.lit(name).alias("detector"), "tp", "tn", "fp", "fn", *r6("accuracy", "precision", "recall", "specificity", "f1"))
+        out = one if out is None else out.unionByName(one)
+    return out
