@@ -15,6 +15,7 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,6 +78,11 @@ class Text:
                 end = i + 5
         return covered
 
+    @cached_property
+    def n_stutters(self) -> int:
+        """Words equal to the word before."""
+        return sum(map(eq, self.words, self.words[1:]))
+
     @cached_property
     def letters(self) -> tuple[int, int]:
         """Letters and, of them, upper-case ones; cased by comparing with the lower-case form."""
@@ -91,6 +97,7 @@ RULES: dict[str, Rule] = {
     "repeats": lambda t: 100 * t.n_repeat_words > 20 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
     "word_length": lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 15 * t.n_words,
+    "stutters": lambda t: 5 * t.n_stutters > t.n_words,
     "dup_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
     "shouting": lambda t: 2 * t.letters[1] > t.letters[0],
     "few_letters": lambda t: 2 * t.letters[0] < t.word_chars,

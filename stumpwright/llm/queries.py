@@ -108,13 +108,13 @@ m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_lines, 0) AS n_lines, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutters,
          length(regexp_replace(text, '[^\pL]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
-            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_stutters > n_words OR 2 * n_dup_lines > n_lines
             OR 2 * n_upper > n_letters OR 2 * n_letters < word_chars) AS kept
 FROM m""",
     "op10_chat": r"""
