@@ -11,7 +11,7 @@ Layout below the store's path, both parts Parquet so that any Spark file system
 A lookup hashes the key to a bucket and slot, compares the fingerprint, and slices one block.
 
 Nulls: a null text is an empty text (its end id only); a null key sorts first and is found as
-null. Repeated keys are occurrences 1, 2, ... in store order (key, text hash, text). An empty
+null. Repeated keys are occurrences 1, 2, ... in the order they were read. An empty
 table gives an empty store. Extra columns are ignored.
 """
 
@@ -37,14 +37,14 @@ BLOCK_TOKENS = 1 << 18
 BLOCK_DOCS = 1 << 14
 KEYS_PER_BUCKET = 8192
 #: Distinct pieces whose ids a worker remembers; speed only.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 _BATCH_TEXTS = 256
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The byte-level splitting rule for texts up to U+024F, where these classes are all letters and numbers.
 _PIECE = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+    rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
 )
 #: A character for which the library itself has to split the text.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
@@ -64,9 +64,14 @@ class _Known(dict):
     def __init__(self, tokenizer, kind: str):
         super().__init__()
         self.tokenize, self.kind, self.map = tokenizer.model.tokenize, kind, _byte_characters()
+        self.space = self.map[32]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array(self.kind, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))]).tobytes()
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.space)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.map)
+        ids = array(self.kind, [t.id for t in self.tokenize(shown)]).tobytes()
         if len(self) < CACHE_PIECES:
             self[piece] = ids
         return ids
@@ -138,10 +143,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
             yield row()
 
     spark = docs.sparkSession
-    rows = only(docs, key=key, text=text).select(F.col("key").cast("long"), "text", F.xxhash64("text").alias("h"))
-    ranged = rows.repartitionByRange(F.asc_nulls_first("key"), "h")
+    # the row number lets rows of one key go to several partitions, and the sampling of the ranges read keys alone
+    rows = only(docs, key=key, text=text).select(F.col("key").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(F.asc_nulls_first("key"), "row")
     (
-        ranged.sortWithinPartitions(F.asc_nulls_first("key"), "h", "text")
+        ranged.sortWithinPartitions(F.asc_nulls_first("key"), "row")
         .select("key", "text")
         .mapInArrow(blocks, _SHARD)
         .write.mode("overwrite")
