@@ -41,7 +41,7 @@ BLOCK = 512
 #: Shingles of a block, on average, at most.
 BLOCK_SHINGLES = 1_000_000
 #: Shingles of small candidate groups that one task verifies, on average.
-TASK_SHINGLES = 1_000_000
+TASK_SHINGLES = 250_000
 _COLUMNS = 1 << 14
 _CHUNK_TEXTS = 64
 _U = np.uint64
