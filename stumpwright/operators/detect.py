@@ -35,6 +35,13 @@ def scales(spark: SparkSession, *args, **kwargs) -> DataFrame:
     return spark.createDataFrame(pyramid(*args, **kwargs), PYRAMID)
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """images over all cores: dealt anew only where a small input has fewer partitions than there are
+    cores, as an image's windows cost far more than moving the image."""
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(cores) if images.rdd.getNumPartitions() < cores else images
+
+
 def window_grid(images: DataFrame, scales: DataFrame) -> DataFrame:
     """Every origin of every scale in every image: images' columns, the scale's, ox, oy.
 
@@ -68,7 +75,7 @@ def detections(images: DataFrame, model: Cascade, width: int, height: int, min_s
     One filter a stage, in order: a window that fails pays for no later stage.
     """
     s = scales(images.sparkSession, (model.width, model.height), (width, height), **pyramid_options)
-    out = window_stds(window_grid(with_integrals(images, width), s), width).withColumn("margin", F.lit(0.0))
+    out = window_stds(window_grid(with_integrals(spread(images), width), s), width).withColumn("margin", F.lit(0.0))
     for stage in model.stages:
         v = vote(stage, F.col("ii"), width, F.col("std"), F.col("scale"), F.col("ox"), F.col("oy"))
         out = out.withColumn("vote", v).where(F.col("vote") >= stage.threshold).withColumn("margin", F.col("margin") + F.col("vote") - stage.threshold)
@@ -94,7 +101,7 @@ def detections_arrow(images: DataFrame, model: Cascade, min_score: float | None
                 ids = pa.array([image.as_py()] * len(found[0]), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in found[:4]), pa.array(found[4])], ["image_id", "x1", "y1", "x2", "y2", "score"])
 
-    return images.select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, score double")
+    return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, score double")
 
 
 def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
@@ -198,7 +205,7 @@ def leaf_detections(images: DataFrame, model: LeafCascade, step: int = 2, min_sc
                     found = [x[found[4] >= min_score] for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * len(found[0]), batch.schema.field(0).type), *map(pa.array, found)], ["image_id", "x1", "y1", "x2", "y2", "score"])
 
-    return images.select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 double, y1 double, x2 double, y2 double, score double")
+    return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 double, y1 double, x2 double, y2 double, score double")
 
 
 def _leaf_windows(a: np.ndarray, model: LeafCascade, step: int, options: dict) -> list[np.ndarray]:

@@ -55,7 +55,8 @@ def curve(flags: DataFrame, n_gt: int) -> DataFrame:
 def summary(flags: DataFrame, n_gt: int) -> DataFrame:
     """One row: all-points average precision (envelope of precision), final recall and precision, counts."""
     c = curve(flags, n_gt)
-    after = Window.orderBy("rk").rowsBetween(0, Window.unboundedFollowing)
+    # the maximum from here on, as a running one from the end: a frame that reaches forward is recomputed per row
+    after = Window.orderBy(F.desc("rk")).rowsBetween(Window.unboundedPreceding, 0)
     envelope = c.withColumn("env", F.max("precision").over(after))
     n = F.count("*")
     tp = F.coalesce(F.sum("tp"), F.lit(0))

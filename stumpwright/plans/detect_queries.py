@@ -43,7 +43,7 @@ def window_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.IMAGE_II}, {_SCALES.format(w=24)}, {_WIN} SELECT image_id, level, ox, oy, round({_WSTD}, 6) AS std FROM win JOIN iil USING (image_id)")
 def window_std(spark: SparkSession, sf: str) -> DataFrame:
-    grid = detect.window_grid(detect.with_integrals(X.text_images(spark, sf), X.IMAGE_WIDTH), detect.scales(spark, (8, 8), _IMAGE))
+    grid = detect.window_grid(detect.with_integrals(detect.spread(X.text_images(spark, sf)), X.IMAGE_WIDTH), detect.scales(spark, (8, 8), _IMAGE))
     return detect.window_stds(grid, X.IMAGE_WIDTH).select("image_id", "level", "ox", "oy", *r6("std"))
 
 
