@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id stays of each group of near copies."""
+    """One row stays of each group of near copies, that of least id."""
     return ngram_join.filtered(docs)
 
 

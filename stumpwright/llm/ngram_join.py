@@ -215,8 +215,11 @@ def _links(sets: list[np.ndarray], node: np.ndarray, copies: np.ndarray, side: n
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-copy group, the one of least doc_id; all columns stay.
-
-    Rows that repeat one doc_id are one document and stay together."""
-    gone = join(docs).where("doc_id is distinct from class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs with one row of each near-copy group, of least doc_id (null ids last); all columns stay.
+
+    Rows are told apart by their own number, so null, clashing and repeated ids decide nothing for other rows."""
+    key = max(docs.columns, key=len) + "_"
+    number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
+    keyed = written(docs.withColumn(key, number))
+    stays = join(keyed, key).where("doc_id = class_id").select(F.col("doc_id.row").alias("row"))
+    return keyed.join(stays.hint("merge"), keyed[key]["row"] == stays["row"], "left_semi").select(*[keyed[f"`{c}`"] for c in docs.columns])

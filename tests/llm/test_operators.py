@@ -118,6 +118,17 @@ def _compare(spark, texts, monkeypatch=None):
     assert got == {i: (root[i], len(links[i]), size[root[i]]) for i in range(len(texts))}
 
 
+def test_near_copies_go_by_row(spark):
+    """Null, clashing and repeated ids: one row of each group stays, and rows without copies all stay."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(1, a), (None, a + " more"), (None, c), (None, d), (3, b), (5, b), (5, e), (7, e + " more"), (8, "x y z"), (8, "x y z"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    out = ngram_join.filtered(docs)
+    assert out.columns == docs.columns
+    got = sorted(r.n for r in out.collect())
+    assert [n for n in got if n not in (8, 9)] == [0, 2, 3, 4, 6, 10, 11] and len(got) == 8
+
+
 def test_ngram_join_against_all_pairs(spark, sf):
     _compare(spark, [r.text for r in common.table(spark, sf, "documents").orderBy("doc_id").collect()])
 
