@@ -272,6 +272,21 @@ def test_host_suffix_array_removes_repeated_runs(spark, monkeypatch):
         assert got == {i: b for i, b in enumerate(body)} | {99: body[0]}
 
 
+def test_plain_text_beside_a_container_stays_and_furniture_goes(spark, monkeypatch):
+    own = lambda tag, i: " ".join(f"{tag}{i}x{k}" for k in range(9))
+    shell, offer = "home about contact news terms privacy imprint help", "read more of our best stories every day"
+    page = lambda i: f"<div>{shell}</div><p>{own('lead', i)}</p><article><p>{own('main', i)}</p></article><p>{own('body', i)} {offer}</p>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(8)]
+    bare = [own("bare", i) + " as they said it is what it is " + own("end", i) for i in range(2)]
+    rows += [(10 + i, f"https://h.example/b{i}", f"<div>{shell}</div><p>{b}</p>") for i, b in enumerate(bare)]
+    rows += [(20 + i, f"https://same.example/{i}", f"<div>{shell}</div><article>{own('only', i)}</article>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"{own('lead', i)}\n\n{own('main', i)}\n\n{own('body', i)}" for i in range(8)} | {10 + i: b for i, b in enumerate(bare)} | {20 + i: own("only", i) for i in range(3)}
+    for tokens in (500_000, 40):
+        monkeypatch.setattr(html_extract, "PART_TOKENS", tokens)
+        assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
 def test_sentences_join_to_the_text():
     for t in ("", "a. b! c?\n\nd", "  x. y", "w " * 100, "One. Two.Three? Four", "é" + " ".join(f"w{i},x{i}" for i in range(60)) + "! \n"):
         parts = substring_dedup.sentences(t)
