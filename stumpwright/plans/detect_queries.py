@@ -93,7 +93,7 @@ def mine_raw_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nms_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return X.boxes(spark, sf).where("id % 5 = 0").select("image_id", "id", "score", "x1", "y1", "x2", "y2")
+    return X.boxes(spark, sf).select("image_id", "id", "score", "x1", "y1", "x2", "y2")
 
 
 _PAIR = f"""{D.BOX}, nb AS (SELECT * FROM box WHERE id % 5 = 0),
