@@ -197,7 +197,7 @@ def ellipse_list(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {D.LANDMARK} SELECT id || '.jpg' AS file, round(lex, 3) AS lex, round(ley, 3) AS ley, round(rmy, 3) AS rmy FROM lmk WHERE id % 4 = 0")
 def landmark_list(spark: SparkSession, sf: str) -> DataFrame:
     """Landmark lists written as text, parsed again."""
-    m = X.landmarks(spark, sf).where("id % 4 = 0")
+    m = X.landmarks(spark, sf)
     line = F.concat_ws("  ", F.concat(F.col("id").cast("string"), F.lit(".jpg")), *[F.col(f"{p}.{a}") for p in ("le", "re", "nose", "lm", "rm") for a in ("x", "y")])
     lists = m.groupBy((F.col("id") % 16).alias("k")).agg(F.concat(F.lit("n\nheader\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
     p = annotations.landmarks(lists)

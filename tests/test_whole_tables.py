@@ -49,3 +49,8 @@ def test_suppression_over_all_boxes(spark, sf):
         total = sum(b.score for b in own)
         mean = [int(round(sum(b.score * b[c] for b in own) / total if total > 0 else sum(b[c] for b in own) / len(own), 9)) for c in corners]
         assert [weighted[k][c] for c in corners] == mean and abs(weighted[k].score - best.score) < 1e-5
+
+
+def test_every_landmark_row_is_written_and_parsed(spark, sf):
+    want = sorted((f"{r.id}.jpg", round(r.le.x, 3), round(r.le.y, 3), round(r.rm.y, 3)) for r in X.landmarks(spark, sf).collect())
+    assert sorted(map(tuple, QUERIES["landmark_list"](spark, sf).collect())) == want
