@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ def _cubic(a: float):
 KERNELS = {"bilinear": (_triangle, 1.0, True), "bicubic": (_cubic(-0.75), 2.0, False)}
 
 
+@lru_cache(256)
 def weights(n_in: int, n_out: int, kind: str = "bilinear") -> np.ndarray:
     """(n_out, n_in) weights of a one-dimensional resize about pixel centres, edges repeated."""
     kernel, support, grows = KERNELS[kind]

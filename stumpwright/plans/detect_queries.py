@@ -80,8 +80,8 @@ s AS (SELECT image_id, ox, oy, round(CAST(CASE WHEN f0 < -0.01 * nf THEN 0.6 ELS
   round(CAST(CASE WHEN f2 < 0.0 * nf THEN 0.5 ELSE -0.3 END + CASE WHEN f0 < 0.015 * nf THEN -0.1 ELSE 0.2 END + 0.2 AS DOUBLE), 9) AS b FROM n)
 SELECT image_id, CAST(ox AS DOUBLE) AS x1, CAST(oy AS DOUBLE) AS y1, CAST(ox + 8 AS DOUBLE) AS x2, CAST(oy + 8 AS DOUBLE) AS y2, round(a + b, 6) AS score FROM s WHERE a >= 0 AND b >= 0""")
 def xml_cascade_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """The XML model on the text images at full size (the pyramid's first level)."""
-    return detect.leaf_detections(X.text_images(spark, sf), parse_cascade(XML), max_face=8).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
+    """The XML model on the text images at every level of the pyramid."""
+    return detect.leaf_detections(X.text_images(spark, sf), parse_cascade(XML)).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
 
 
 @query()

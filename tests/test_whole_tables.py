@@ -2,8 +2,13 @@
 
 from collections import defaultdict
 
+import numpy as np
+
 from stumpwright import fixtures as X
+from stumpwright.operators import detect
 from stumpwright.plans.all_queries import QUERIES
+from stumpwright.plans.patch_queries import XML
+from stumpwright.sources.xml_cascade import parse_cascade
 
 
 def _brute(boxes):
@@ -54,3 +59,50 @@ def test_suppression_over_all_boxes(spark, sf):
 def test_every_landmark_row_is_written_and_parsed(spark, sf):
     want = sorted((f"{r.id}.jpg", round(r.le.x, 3), round(r.le.y, 3), round(r.rm.y, 3)) for r in X.landmarks(spark, sf).collect())
     assert sorted(map(tuple, QUERIES["landmark_list"](spark, sf).collect())) == want
+
+
+def _shrunk(a, h, w):
+    """Triangle filter as wide as the shrink factor, pixel by pixel."""
+
+    def row(n_in, n_out, i):
+        f = n_in / n_out
+        k = [max(1 - abs(j - ((i + 0.5) * f - 0.5)) / f, 0) for j in range(n_in)]
+        return [x / sum(k) for x in k]
+
+    if a.shape == (h, w):
+        return a
+    ys, xs = ([row(n, m, i) for i in range(m)] for n, m in zip(a.shape, (h, w)))
+    return np.clip(np.floor(np.array(ys) @ a @ np.array(xs).T + 0.5), 0, 255).astype(np.int64)
+
+
+def _all_levels(a, model):
+    """Detections of one image, window by window, on every level."""
+    (height, width), side, scale, out = a.shape, model.width, 1.0, []
+    while int(side * scale) <= min(height, width):
+        h, w = (max(side, round(n / scale)) for n in (height, width))
+        small = _shrunk(a, h, w)
+        for y in range(0, h - side + 1, 2):
+            for x in range(0, w - side + 1, 2):
+                win = small[y : y + side, x : x + side]
+                norm = max(float(side * side * (win * win).sum() - win.sum() ** 2), 0.0) ** 0.5
+                score = 0.0
+                for stage in model.stages:
+                    leaves = sum(s.left if sum(k * float(win[ry : ry + rh, rx : rx + rw].sum()) for rx, ry, rw, rh, k in s.rects) < s.threshold * max(norm, 1.0) else s.right for s in stage.stumps)
+                    if leaves < stage.threshold:
+                        break
+                    score += leaves - stage.threshold
+                else:
+                    out.append((x * width / w, y * height / h, (x + side) * width / w, (y + side) * height / h, score))
+        scale *= 1.25
+    return out
+
+
+def test_leaf_detections_on_every_level(spark, sf):
+    model, key = parse_cascade(XML), lambda i, d: (i, *(round(float(v), 4) + 0.0 for v in d))
+    images = X.text_images(spark, sf).collect()
+    want = sorted(key(r.image_id, d) for r in images for d in _all_levels(np.array(r.px, np.int64).reshape(r.h, r.w), model))
+    got = sorted(key(r.image_id, (r.x1, r.y1, r.x2, r.y2, r.score)) for r in QUERIES["xml_cascade_detect"](spark, sf).collect())
+    assert got == want and any(d[3] - d[1] > 20 for d in got)
+    a = np.random.default_rng(4).integers(0, 256, (27, 41))
+    one = spark.createDataFrame([(1, 27, 41, a.ravel().tolist())], "image_id long, h int, w int, px array<int>")
+    assert sorted(key(*(r[0], r[1:])) for r in map(tuple, detect.leaf_detections(one, model).collect())) == sorted(key(1, d) for d in _all_levels(a, model))
