@@ -26,6 +26,10 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+#: Folders of this process's intermediate tables.
+_folders: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,15 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) is one made in the temp folder.
+    Only in local mode may the session name none; the temp folder is shared there.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stumpwright-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/stumpwright-{uuid.uuid4().hex}")
+    return _folders[-1]
 
 
 def written(df: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -49,7 +56,23 @@ def written(df: DataFrame, path: str | None = None, partitions: int | None = Non
     spark = df.sparkSession
     path = path or shared_dir(spark)
     (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later plan reads."""
+    for t in tables:
+        remove(t.sparkSession, t._folder)
+        if t._folder in _folders:
+            _folders.remove(t._folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; for when its results are written."""
+    while _folders:
+        remove(spark, _folders.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,8 +81,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: A key with more than one row in so many is joined by broadcast; there are fewer than so many such keys.
+HOT_SHARE = 2000
+
+
+def joined(left: DataFrame, right: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """left joined with right, which has a row a key and in ``n`` the key's number of rows in left; total
+    is the number of left's rows. Columns: left's, then right's others.
+
+    Keys with more than total / HOT_SHARE rows, fewer than HOT_SHARE by that bound, are broadcast, so
+    their rows never meet in a task; the others are merged. Plans of both are read twice: they should be
+    tables or have their exchange reused.
+    """
+    hot = F.broadcast(right.where(F.col(n) * HOT_SHARE > total))
+    often = left.join(hot, key)
+    seldom = left.join(hot.select(*key), key, "left_anti").join(right.where(F.col(n) * HOT_SHARE <= total).hint("merge"), key)
+    return often.unionByName(seldom)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

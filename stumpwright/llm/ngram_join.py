@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.llm.common import only, words_of, written
+from stumpwright.llm.common import joined, only, release, words_of, written
 from stumpwright.llm.graph import components
 
 SHINGLE = 5
@@ -127,19 +127,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = S
     least = hashed.groupBy("h").agg(F.min("node").alias("m"), F.count("*").alias("k")).where("k > 1").select("h", "m")
     stars = hashed.join(least, "h").where("node > m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     candidates = components(stars)
-    members = candidates.join(classes.select("node", "rep", "c1", "c2", "copies", "n"), "node")
+    members = written(candidates.join(classes.select("node", "rep", "c1", "c2", "copies", "n"), "node"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("root").agg(blocks.alias("blocks"))
-    asked = written(members.join(sizes, "root").select("node", F.col("root").alias("comp"), "blocks", "rep", "c1", "c2", "copies", "n"))
+    sizes = members.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("k"))
+    asked = written(joined(members, sizes, ["root"], "k", members.count()).select("node", F.col("root").alias("comp"), "blocks", "rep", "c1", "c2", "copies", "n"))
     checked = written(_verified(docs, asked, doc_id, text, n, threshold))
     roots = components(checked.select(F.col("node").alias("u"), F.col("parent").alias("v")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     of = classes.select("node", "c1", "c2", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
-    of = of.withColumn("root", F.coalesce("root", "node"))
-    groups = of.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    out = of.join(groups, "root").select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size")
+    of = written(of.withColumn("root", F.coalesce("root", "node")))
+    groups = of.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("k"))
+    out = joined(of, groups, ["root"], "k", of.count())
+    out = written(out.select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size", "copies"))
+    release(classes, members, asked, checked, of)
     alone = sig.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
-    return sig.where("n > 0").select("doc_id", "c1", "c2").join(out, ["c1", "c2"]).select("doc_id", F.col("class_id").cast(kind), "n_links", "class_size").unionByName(alone)
+    rows = joined(sig.where("n > 0").select("doc_id", "c1", "c2"), out, ["c1", "c2"], "copies", sig.count())
+    return rows.select("doc_id", F.col("class_id").cast(kind), "n_links", "class_size").unionByName(alone)
 
 
 def _verified(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, n: int, threshold: tuple[int, int]) -> DataFrame:

@@ -9,9 +9,10 @@ least (doc_id, text hash, sentence), and every sentence that another occurrence
 Forward and backward runs together cover any repeated passage of MIN_WORDS words from its first
 whole sentence to its last.
 
-Only hashes are counted first, then the spans of repeated hashes are kept; counts are aggregated
-before they are shuffled and the joins' hot hashes can be split, so a passage that a third of all
-documents share doesn't meet in one task.
+Only hashes are counted first, then the spans of repeated hashes are kept; counts and first
+occurrences are aggregated before they are shuffled, and the few hashes with a large share of all
+spans are joined by broadcast, so a passage that a third of all documents share doesn't meet in one
+task. Texts are taken whole, whatever their length.
 
 Nulls: a null text stays null. Null ids sort first. Rows with equal id and text are one document
 (none of them is the other's repeat). Texts without a repeated span come back as they are, texts
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.llm.common import WORD_TABLE, only, utf8, written
+from stumpwright.llm.common import WORD_TABLE, joined, only, release, utf8, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 28
@@ -140,10 +141,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     cut = docs.select("doc_id", "t", "text").mapInArrow(run, f"h long, doc_id {kind}, t int, first int, last int")
     cut = written(cut)
-    again = cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = written(cut.join(again.hint("merge"), "h"))
-    first = hits.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("f"))
-    return hits.join(first.hint("merge"), "h").where(~F.struct("doc_id", "t", "first").eqNullSafe(F.col("f"))).select("doc_id", "t", "first", "last")
+    again = written(cut.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = written(joined(cut, again, ["h"], "n", cut.count()))
+    release(cut, again)
+    first = hits.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("f"), F.first("n").alias("k"))
+    later = joined(hits, first, ["h"], "k", hits.count())
+    return later.where(~F.struct("doc_id", "t", "first").eqNullSafe(F.col("f"))).select("doc_id", "t", "first", "last")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
