@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, below the temp folder."""
+    """A new folder below spark.checkpoint.dir; only in local mode, where that is unset, below the temp folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return f"{(base or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/stumpwright-{uuid.uuid4().hex}"
