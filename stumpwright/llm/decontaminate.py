@@ -5,7 +5,7 @@ window). Every text is normalised once (lower-cased words joined by single space
 once; a hit marks the words it covers, whose offsets are mapped back to the original text.
 
 The patterns pass through the driver and a broadcast in parts of at most PART_BYTES, by the hash
-of the pattern; a benchmark beyond one part is scanned for part by part.
+of the pattern; a benchmark beyond one part is scanned for part by part. Texts are scanned whole.
 
 Nulls: a null or wordless text has no words and no hits; a null or wordless item has no window; an
 item whose id is null marks words but is not listed. Repeated item ids are listed once, repeated
@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.llm.common import only, words_of, written
+from stumpwright.llm.common import only, release, words_of, written
 
 WINDOW = 10
-#: Bytes of patterns that one broadcast automaton holds at most; a pattern of its own size may exceed it.
-PART_BYTES = 32 << 20
+#: Bytes of patterns that one automaton holds at most; a pattern of its own size may exceed it. Every Python
+#: worker holds one, of about 47 bytes a byte (93 MB measured for 2 MB of random windows).
+PART_BYTES = 4 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _automata: dict[object, object] = {}
 
@@ -93,7 +94,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, doc_id: str = "doc_
     and spans (start and end code points of the hit stretches in the original text)."""
     sc = docs.sparkSession.sparkContext
     state = only(docs, doc_id=doc_id, text=text)
-    first, ahead = True, _parts(windows(items, n))
+    first, ahead, before = True, _parts(windows(items, n)), None
     own = next(ahead)
     while own is not None:
         after = next(ahead, None)
@@ -102,6 +103,9 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW, doc_id: str = "doc_
         if after is not None:
             state = written(state)
             sent.destroy()
+            if before is not None:
+                release(before)
+            before = state
         first, own = False, after
     return state
 
@@ -180,11 +184,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, items: DataFrame, n: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs without the documents that hold a window of an item; all columns stay, and no row moves.
+    """docs without the documents that hold a window of an item; all columns stay, and no row is shuffled.
 
-    Each part of the patterns is a filter of its own."""
+    Parts of the patterns are filters one after the other, with what is left written between them, so
+    that a worker holds one automaton."""
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text)
-    for own in _parts(windows(items, n)):
+    ahead = _parts(windows(items, n))
+    own, before = next(ahead), None
+    while own is not None:
+        after = next(ahead, None)
         sent = sc.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -194,4 +202,11 @@ def filtered(docs: DataFrame, items: DataFrame, n: int = WINDOW, text: str = "te
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if after is not None:
+            docs = written(docs)
+            sent.destroy()
+            if before is not None:
+                release(before)
+            before = docs
+        own = after
     return docs

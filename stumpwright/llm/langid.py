@@ -5,9 +5,12 @@ longest matches with each automaton; phrases * log2(training size) / length is t
 entropy, and the language with the least wins (ties: the first name). Automata are stored as full
 transition tables, so a batch of texts is parsed in step with array operations.
 
-Training is bounded: TRAIN_DOCS documents a language at most, in order of a hash of their id, of
-which whole texts are taken up to TRAIN_BYTES. Prediction covers whole texts, cut into stretches of
-STRETCH bytes that are parsed side by side (each cut ends a phrase, for all languages alike).
+Training is bounded: a language has TRAIN_BYTES of text at most, from TRAIN_DOCS documents at most in
+order of a hash of their id; a text that goes beyond the bound is cut, the first one too. All
+languages together have tables of MODEL_CELLS cells at most, so many languages get shorter training
+texts each; that bounds what the driver builds and what is broadcast (4 bytes a cell). Prediction
+covers whole texts, cut into stretches of STRETCH bytes that are parsed side by side (each cut ends
+a phrase, for all languages alike).
 
 Nulls: a null text or one without a letter is ``und`` with score 0; rows with null lang or text
 don't train; a null id is in training. Without any training row every text is ``und``. Repeated
@@ -29,6 +32,8 @@ from stumpwright.llm.common import only, utf8
 
 TRAIN_DOCS = 64
 TRAIN_BYTES = 40_000
+#: Cells of all languages' tables together, at most: 128 MB.
+MODEL_CELLS = 32_000_000
 STRETCH = 512
 _ROWS = 8192
 _ASCII_OTHER = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -49,27 +54,44 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_texts(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """Per language at most TRAIN_BYTES of whole texts, from TRAIN_DOCS documents at most."""
+    """Per language plain text of TRAIN_BYTES at most, and of no more than its share of MODEL_CELLS.
+
+    Rows are thinned by the hash of their id before any is ranked, and texts cut before they move."""
     rows = only(labelled, doc_id=doc_id, text=text, lang=lang).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not counts:
         return {}
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 8 * TRAIN_DOCS / n))).otherwise(share)
-    order = F.xxhash64("doc_id")
-    some = rows.withColumn("h", order).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    few = some.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rn") <= TRAIN_DOCS)
+    # an automaton of t bytes has fewer than 2 t states, each of a cell a symbol
+    cells = MODEL_CELLS // len(counts)
+    most = max(1, min(TRAIN_BYTES, cells // 8))
+    shares = rows.sparkSession.createDataFrame([(name, min(1.0, 8 * TRAIN_DOCS / n)) for name, n in counts], "lang string, share double")
+    shares = F.broadcast(shares) if len(counts) <= 100_000 else shares
+    some = rows.withColumn("h", F.xxhash64("doc_id")).join(shares, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    some = some.select("lang", "h", F.substring("text", 1, most).alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    few = some.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= TRAIN_DOCS)
+    before = F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= 4 * most)
     out: dict[str, list[bytes]] = {}
     for r in few.orderBy("lang", "rn").toLocalIterator():
         own = out.setdefault(r.lang, [])
-        raw = _plain(r.text)
-        if raw and (not own or sum(map(len, own)) + len(raw) <= TRAIN_BYTES):
+        raw = _plain(r.text)[: max(0, most - sum(map(len, own)))]
+        if raw:
             own.append(raw)
-    return {k: v for k, v in out.items() if v}
+    return {k: _fitting(v, cells) for k, v in out.items() if v}
+
+
+def _fitting(texts: list[bytes], cells: int) -> list[bytes]:
+    """texts cut so that their automaton has no more cells."""
+    out: list[bytes] = []
+    left = cells // (2 * (len(set(b"".join(texts))) + 3))
+    for t in texts:
+        out.append(t[: max(0, left)])
+        left -= len(t) + 1
+    return [t for t in out if t] or [texts[0][:1]]
 
 
-def suffix_automaton(symbols: bytes, size: int) -> np.ndarray:
+def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
     """Transitions (states x size) of the automaton of all substrings; -1 where there is none."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -104,44 +126,48 @@ def suffix_automaton(symbols: bytes, size: int) -> np.ndarray:
 
 
 class Model:
-    """Symbol classes, and per language a parsing table and the log of the training size.
+    """Per language its symbol classes, a parsing table and the log of the training size.
 
     table[state * width + symbol] = next state's row start * 2 + (1 if a phrase ends before it).
-    The last symbol is padding and stays; the one before it is any byte unseen in training.
+    The last symbol is padding (byte 0, which plain text lacks) and stays; the one before it is any
+    byte unseen in the language's training text.
     """
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
-        seen = sorted(set(b"".join(b"".join(v) for v in texts.values())) | {32})
-        self.width = width = len(seen) + 2
-        self.classes = bytes(seen.index(b) if b in seen else width - 2 for b in range(256))
-        self.tables, self.logs = [], []
+        self.classes, self.tables, self.logs = [], [], []
         for name in self.langs:
             raw = b" ".join(texts[name])
-            moves = suffix_automaton(raw.translate(self.classes), width)
+            seen = sorted(set(raw) | {32})
+            width = len(seen) + 2
+            own = np.full(256, width - 2, np.int32)
+            own[seen] = np.arange(len(seen))
+            own[0] = width - 1
+            moves = suffix_automaton(own[np.frombuffer(raw, np.uint8)].tolist(), width)
             unseen = len(moves)  # a state of its own: such a byte is a phrase
             moves = np.vstack([moves, np.full((1, width), -1, np.int32)])
             start = np.where(moves[0] >= 0, moves[0], unseen)[None, :]
             table = np.where(moves >= 0, moves * (2 * width), start * (2 * width) + 1)
             table[0] = start * (2 * width)
             table[:, width - 1] = np.arange(len(moves)) * (2 * width)
+            self.classes.append(own)
             self.tables.append(table.astype(np.int32).ravel())
             self.logs.append(math.log2(max(2, len(raw))))
 
     def entropies(self, texts: list[bytes]) -> np.ndarray:
         """Cross-parsing entropy of each text (plain form) by each language."""
-        pad, out = self.width - 1, np.zeros((len(texts), len(self.langs)))
+        out = np.zeros((len(texts), len(self.langs)))
         stretches = [(i, t[a : a + STRETCH]) for i, t in enumerate(texts) for a in range(0, len(t), STRETCH)]
         for first in range(0, len(stretches), _ROWS):
             part = stretches[first : first + _ROWS]
             owner = np.array([i for i, _ in part])
-            flat = b"".join(t.translate(self.classes).ljust(STRETCH, bytes([pad])) for _, t in part)
+            flat = b"".join(t.ljust(STRETCH, b"\0") for _, t in part)
             grid = np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(len(part), STRETCH).T)
-            for k, table in enumerate(self.tables):
+            for k, (own, table) in enumerate(zip(self.classes, self.tables)):
                 state = np.zeros(len(part), np.int32)
                 ends = np.ones(len(part), np.int32)
                 for row in grid:
-                    state += row
+                    state += own.take(row)
                     got = table.take(state)
                     ends += got & 1
                     state = got >> 1

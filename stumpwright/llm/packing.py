@@ -1,16 +1,19 @@
 """Operator 6: conflict-constrained best-fit packing of documents into fixed-size sequences.
 
-Documents longer than CAPACITY are cut into full sequences and a remainder; remainders and whole
-documents are items. Items are packed in groups of about GROUP_TOKENS, dealt by a hash, one group
-a task. Within a group: clusters of copies in falling order of their largest item, items of a
-cluster by falling size, each into the open bin with the smallest residual that fits it, has no
-document of its source yet and none of its cluster; else into a new bin. Bins carry a bitmap of
-sources and one of clusters; residuals form a bitmap too, whose next set bit is the successor.
+A document's size is its number of token ids by a tokenizer file, end id included (words only where
+no file is given). Documents longer than CAPACITY are cut into full sequences and a remainder;
+remainders and whole documents are items. Items are packed in groups of about GROUP_TOKENS, dealt by
+a hash, one group a task; bins are searched within the group. Within a group: clusters of copies in
+falling order of their largest item, items of a cluster by falling size, each into the open bin with
+the smallest residual that fits it, has no document of its source yet and none of its cluster; else
+into a new bin. Bins carry a bitmap of sources and one of clusters; residuals form a bitmap too,
+whose next set bit is the successor. Clusters are exact copies unless the caller names others, as
+the classes of the n-gram join. ``token_sequences`` joins the placed pieces to the ids themselves.
 
 While a cluster is placed, bins that took one of it are set aside, so that a large cluster doesn't
 make the search walk over its own bins.
 
-Nulls: a null text or one without words has length 0 and gets a row without a bin; a null source
+Nulls: a null or empty text (by words: one without words) has length 0 and gets a row without a bin; a null source
 conflicts with nothing; null ids are items like others. Repeated rows are a cluster, so they go to
 different bins. An empty table gives no rows. Extra columns are ignored.
 """
@@ -24,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.llm.common import only, written
+from stumpwright.llm import token_store
+from stumpwright.llm.common import written
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
@@ -125,7 +129,7 @@ def sequences(
     docs: DataFrame,
     capacity: int = CAPACITY,
     group_tokens: int = GROUP_TOKENS,
-    n_tokens: Column | None = None,
+    tokenizer_path: str | None = None,
     cluster: Column | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -136,9 +140,12 @@ def sequences(
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
-        (n_words(F.col(f"`{text}`")) if n_tokens is None else F.coalesce(n_tokens, F.lit(0))).cast("int").alias("n"),
+        (n_words(F.col(f"`{text}`")) if tokenizer_path is None else F.col(f"`{text}`")).alias("n"),
         (F.xxhash64(f"`{text}`") if cluster is None else cluster.cast("long")).alias("cluster"),
     )
+    if tokenizer_path is not None:
+        rows = token_store.counted(rows, tokenizer_path, "n", "n")
+    rows = rows.withColumn("n", F.col("n").cast("int"))
     rows = written(rows)
     total = rows.select(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
@@ -161,3 +168,18 @@ def sequences(
     none = F.lit(None).cast("int")
     empty = pieces.where("n = 0").select("doc_id", "piece", F.lit(0).alias("n_tokens"), none.alias("group"), none.alias("bin"), none.alias("bin_offset"))
     return real.groupBy("group").applyInArrow(one, SCHEMA).unionByName(empty)
+
+
+def token_sequences(placed: DataFrame, tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """group, bin, n_tokens, width, ids: the ids of each sequence, its pieces in order.
+
+    tokens: doc_id, ids (raw little-endian bytes, end id included), width, a row a document, as the token
+    store reads them; ids of documents have to be unique here. A sequence is at most capacity ids long."""
+    own = placed.where("bin is not null").join(tokens.select("doc_id", "ids", "width"), "doc_id")
+    start = F.col("piece").cast("long") * capacity * F.col("width")
+    cut = F.substring(F.col("ids"), (start + 1).cast("int"), (F.col("n_tokens") * F.col("width")).cast("int"))
+    pieces = F.sort_array(F.collect_list(F.struct("bin_offset", cut.alias("ids"))))
+    return own.groupBy("group", "bin").agg(
+        F.sum("n_tokens").cast("int").alias("n_tokens"), F.first("width").alias("width"),
+        F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+    )

@@ -7,8 +7,16 @@ and the permuted rank is written in the value's own layout: separators, length,
 check digits stay right. Equal values get equal pseudonyms in every document, distinct values
 distinct ones, and no value is its own pseudonym. ``Pseudonyms.inverse`` undoes it with the key.
 
-Values stay in their class: a card keeps its first digit, an e-mail address its domain and the
-places of digits and letters, an international number its first two digits, an IBAN its country. A
+Dates are YYYY-MM-DD (or with / or .), MM/DD/YYYY, DD/MM/YYYY where the day can't be a month, DD.MM.YYYY
+and DD-MM-YYYY, of 1900 to 2099, with days and months of one or two digits; the layout stays. Telephone
+numbers are North American ones and international ones from a plus on. Not found are IPv6 addresses,
+national numbers of other countries without a plus, dates in words, and secrets without a format.
+
+The key is the caller's secret; there is no default. ``secret`` reads it from the session's setting KEY,
+or draws a random one for the call, whose pseudonyms link within its output only.
+
+Values stay in their class: a card keeps its first digit, an e-mail address its top-level domain and
+the places of digits and letters, an international number its first two digits, an IBAN its country. A
 number laid out as +1 (ddd) ddd-dddd is a telephone number whatever its digits; those that no
 exchange has stay such.
 
@@ -20,22 +28,34 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import logging
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from stumpwright.llm.common import only
 
-#: Only a default for tests and examples; production passes its own secret.
-KEY = b"stumpwright-default-key"
+#: The session setting that holds the key, any text.
+KEY = "spark.stumpwright.pii.key"
+log = logging.getLogger(__name__)
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date")
 _ROUNDS = 8
 
 
+def secret(spark: SparkSession) -> bytes:
+    """The session's key, or a random one."""
+    own = spark.conf.get(KEY, None)
+    if own:
+        return hashlib.blake2b(own.encode()).digest()
+    log.warning("%s is not set: pseudonyms of this call link to no other's", KEY)
+    return secrets.token_bytes(64)
+
+
 class Feistel:
     """A keyed permutation of 0..n-1 without fixed points (n > 1)."""
 
@@ -123,7 +143,7 @@ _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 class Pseudonyms:
     """replace(kind, value) by the keyed permutation; inverse(kind, value) by its inverse."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self.network = lru_cache(maxsize=4096)(lambda tweak, n: Feistel(key, tweak, n))
 
@@ -143,9 +163,9 @@ class Pseudonyms:
         return rank
 
     def _email(self, v: str, step: int) -> str:
-        local, domain = v.rsplit("@", 1)
-        rank, n, sign = _mixed_rank(local)
-        return f"{_mixed_value(self._moved(f'email {sign}@{domain.lower()}', n, rank, step), local)}@{domain}"
+        name, top = v.rsplit(".", 1)
+        rank, n, sign = _mixed_rank(name)
+        return f"{_mixed_value(self._moved(f'email {sign}.{top.lower()}', n, rank, step), name)}.{top}"
 
     def _ip(self, v: str, step: int) -> str:
         a, b, c, d = map(int, v.split("."))
@@ -190,18 +210,32 @@ class Pseudonyms:
 
     def _date(self, v: str, step: int) -> str:
         day = _date_of(v)
-        r = self._moved("date", _DAYS, day.toordinal() - _DAY0, step)
-        new = datetime.date.fromordinal(_DAY0 + r)
-        y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return _put(v, y + m + d if v[:4].isdigit() else (m + d + y if "/" in v else d + m + y))
+        parts, order = re.findall(r"\d+", v), _order_of(v)
+
+        def written(rank: int) -> list[str]:
+            new = datetime.date.fromordinal(_DAY0 + rank)
+            values = {"y": new.year, "m": new.month, "d": new.day}
+            return [str(values[k]).zfill(len(p)) for k, p in zip(order, parts)]
+
+        def same(rank: int) -> bool:
+            """Whether the date fits the layout and is read back in the same order."""
+            new = written(rank)
+            return all(len(a) == len(b) for a, b in zip(new, parts)) and _order_of(_put(v, "".join(new))) == order
+
+        return _put(v, "".join(written(self._moved(f"date {order} {[len(p) for p in parts]}", _DAYS, day.toordinal() - _DAY0, step, same))))
+
+
+def _order_of(v: str) -> str:
+    """The order of year, month and day in a date's layout; with slashes, months go first where they can."""
+    if v[:4].isdigit():
+        return "ymd"
+    return "mdy" if "/" in v and int(v[: v.index("/")]) <= 12 else "dmy"
 
 
 def _date_of(v: str) -> datetime.date | None:
-    """YYYY-MM-DD (or with / or .), MM/DD/YYYY, DD.MM.YYYY or DD-MM-YYYY, years 1900 to 2099."""
-    parts = [int(x) for x in re.findall(r"\d+", v)]
-    y, m, d = parts if v[:4].isdigit() else ((parts[2], parts[0], parts[1]) if "/" in v else parts[::-1])
+    parts = dict(zip(_order_of(v), (int(x) for x in re.findall(r"\d+", v))))
     try:
-        return datetime.date(y, m, d) if 1900 <= y <= 2099 else None
+        return datetime.date(parts["y"], parts["m"], parts["d"]) if 1900 <= parts["y"] <= 2099 else None
     except ValueError:
         return None
 
@@ -215,7 +249,7 @@ _SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)")
 _PHONE = re.compile(
     r"(?<![\w.+-])(?:\+1 \(\d{3}\) \d{3}-\d{4}|(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|\+[2-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}|\+1\d{10})(?!\w|[.-]\d)"
 )
-_DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}/\d{2}/\d{4}|\d{2}([.-])\d{2}\2\d{4})(?!\w|[./-]\d)")
+_DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([/.-])\d{1,2}\2\d{4})(?!\w|[./-]\d)")
 _ANY = re.compile("[0-9@]")
 
 
@@ -294,7 +328,7 @@ def replaced(text: str | None, names: Pseudonyms) -> tuple[str | None, Counter]:
     return ("".join(out) + text[at:] if found else text), Counter(kind for _, _, kind in found)
 
 
-def mask(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, text with pseudonyms, and the number of finds of each kind."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -308,7 +342,7 @@ def mask(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str =
     return only(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id {kind}, text string, {', '.join(f'n_{k} int' for k in KINDS)}")
 
 
-def masked(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def masked(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with the text replaced; all other columns stay."""
     at = docs.columns.index(text)
 

@@ -16,11 +16,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, path = table(spark, sf_dir, "documents"), shared_dir(spark)
     token_store.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return token_store.digest(spark, path, token_store.all_keys(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_store.digest(spark, path, token_store.stored_keys(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.mask(table(spark, sf_dir, "documents"))
+    """The key is the session's secret; without one, a random key of this call."""
+    return pii.mask(table(spark, sf_dir, "documents"), pii.secret(spark))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.sequences(table(spark, sf_dir, "documents"))
+    """Sizes are token ids of operator 1's tokenizer."""
+    import public_tokenizers
+
+    return packing.sequences(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,31 @@
 """Operator 1: token ids in a binary store with a minimal perfect hash index.
 
-Layout below the store's path, both parts Parquet so that any Spark file system holds them:
-
-* ``shards``: a row per block of consecutive documents in ascending key order: shard, block,
-  the documents' keys and id counts, and the ids as raw little-endian unsigned integers of
-  ``width`` bytes (2 where the vocabulary allows, else 4). A document is never cut.
-* ``index``: a row per key bucket: the pilots of a minimal perfect hash over (key, occurrence),
-  and by slot a 32-bit fingerprint and the location (shard, block, offset, ids).
-
-A lookup hashes the key to a bucket and slot, compares the fingerprint, and slices one block.
+Layout below the store's path, all parts Parquet so that any Spark file system holds them:
+
+* ``shards``: a file per shard, a row per block of consecutive documents in ascending key order:
+  shard, block, the documents' keys and id counts, the ids as raw little-endian unsigned integers of
+  ``width`` bytes (2 where the vocabulary allows, else 4), ``at`` (ids of the shard before the
+  block) and ``seen`` (rows of the block's first key before the block in its shard). A document is
+  never cut.
+* ``files``: a row per shard: its file, the ids in all shards before it, and how often its first key
+  occurs in them.
+* ``index``: a row per key bucket, in folders by the bucket's number: the pilots of a minimal perfect
+  hash over (key, occurrence), and by slot a 32-bit fingerprint and the location (shard, block,
+  offset, ids).
+
+A lookup hashes the key to a bucket and slot, compares the fingerprint, and slices one block. For few
+keys (FEW_KEYS at most) it opens the folders of their buckets and the files of their shards only;
+for more it joins the keys with the index and the blocks.
 
 Nulls: a null text is an empty text (its end id only); a null key sorts first and is found as
-null. Repeated keys are occurrences 1, 2, ... in the order they were read. An empty
-table gives an empty store. Extra columns are ignored.
+null. Repeated keys are occurrences 1, 2, ... in the order they were read; no key's rows meet in one
+task for it. An empty table gives an empty store. Texts are taken whole; a block of one very long
+document is as long as the document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,11 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stumpwright.llm import mph
-from stumpwright.llm.common import only
+from stumpwright.llm.common import only, written
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_DOCS = 1 << 14
 KEYS_PER_BUCKET = 8192
+#: Folders of the index, at most.
+INDEX_PARTS = 4096
+#: Asked keys, at most, for which only the files that hold them are opened.
+FEW_KEYS = 10_000
 #: Distinct pieces whose ids a worker remembers; speed only.
 CACHE_PIECES = 500_000
 _BATCH_TEXTS = 256
@@ -77,8 +90,21 @@ class _Known(dict):
         return ids
 
 
+def _splits_by_rule(tokenizer) -> bool:
+    """Whether _PIECE is how the file's tokenizer splits: byte-level BPE as is, no normalizer, no dropout."""
+    spec = json.loads(tokenizer.to_str())
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    )
+
+
 class Encoder:
-    """Ids of texts as bytes, by the tokenizers library; a piece that recurs is encoded once."""
+    """Ids of texts as bytes, by the tokenizers library; a piece that recurs is encoded once.
+
+    Strings of special tokens inside a text are ordinary text. A tokenizer of another kind than
+    _PIECE splits for encodes every text by itself."""
 
     def __init__(self, tokenizer_path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,11 +116,12 @@ class Encoder:
         self.kind = "H" if self.width == 2 else "I"
         self.end = array(self.kind, [end_id]).tobytes()
         self.known = _Known(self.tokenizer, self.kind)
+        self.by_rule = _splits_by_rule(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.known.__getitem__
         return [
-            (self._whole(t) if _OTHER.search(t) else b"".join(map(get, _PIECE.findall(t)))) + self.end
+            (self._whole(t) if not self.by_rule or _OTHER.search(t) else b"".join(map(get, _PIECE.findall(t)))) + self.end
             for t in texts
         ]
 
@@ -109,7 +136,25 @@ def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
     return Encoder(tokenizer_path, end_id)
 
 
-_SHARD = "shard int, block int, width int, n_tokens long, keys array<bigint>, lens array<int>, ids binary"
+_SHARD = "shard int, block int, width int, n_tokens long, at long, seen long, keys array<bigint>, lens array<int>, ids binary"
+_FILES = "shard int, file string, shard_start long, first_key long, first_seen long"
+
+
+def counted(docs: DataFrame, tokenizer_path: str, text: str = "text", column: str = "n_tokens", end_id: int = 0) -> DataFrame:
+    """docs with the text replaced by the number of its ids, end id included; 0 for null and empty texts."""
+    at = docs.columns.index(text)
+    names = [column if i == at else c for i, c in enumerate(docs.columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_path, end_id)
+        for batch in batches:
+            for first in range(0, batch.num_rows, _BATCH_TEXTS):
+                part = batch.slice(first, _BATCH_TEXTS)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                n = pa.array([len(x) // encoder.width if t else 0 for t, x in zip(texts, encoder.encode(texts))], pa.int64())
+                yield pa.RecordBatch.from_arrays([n if i == at else c for i, c in enumerate(part.columns)], names)
+
+    return docs.mapInArrow(run, docs.select(*[F.lit(0).cast("long").alias(column) if i == at else F.col(f"`{c}`") for i, c in enumerate(docs.columns)]).schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
@@ -119,23 +164,29 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
         encoder, shard, block = _encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[bytes] = []
-        size = 0
+        size = at = run = seen = 0  # run: rows of the last key so far; seen: those of the block's first key before it
+        last: object = blocks
 
         def row() -> pa.RecordBatch:
-            data = [[shard], [block], [encoder.width], [size], [keys], [[len(x) // encoder.width for x in ids]], [b"".join(ids)]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            names = ["shard", "block", "width", "n_tokens", "keys", "lens", "ids"]
+            data = [[shard], [block], [encoder.width], [size], [at], [seen], [keys], [[len(x) // encoder.width for x in ids]], [b"".join(ids)]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            names = ["shard", "block", "width", "n_tokens", "at", "seen", "keys", "lens", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(data, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH_TEXTS):
-                part = batch.slice(at, _BATCH_TEXTS)
+            for first in range(0, batch.num_rows, _BATCH_TEXTS):
+                part = batch.slice(first, _BATCH_TEXTS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for k, own in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     n = len(own) // encoder.width
                     if keys and (size + n > BLOCK_TOKENS or len(keys) >= BLOCK_DOCS):
                         yield row()
+                        at += size
                         keys, ids, size, block = [], [], 0, block + 1
+                    run = run + 1 if k == last else 1
+                    last = k
+                    if not keys:
+                        seen = run - 1
                     keys.append(k)
                     ids.append(own)
                     size += n
@@ -153,22 +204,52 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
         .write.mode("overwrite")
         .parquet(f"{path}/shards")
     )
+    _write_files(spark, path)
     _write_index(spark, path)
 
 
+def _write_files(spark: SparkSession, path: str) -> None:
+    """A row per shard, so a row per partition of the write, passes through the driver."""
+    own = spark.read.schema(_SHARD).parquet(f"{path}/shards").select(
+        "shard", "block", "n_tokens", F.get("keys", F.lit(0)).alias("first"), F.element_at("keys", -1).alias("last"),
+        (F.when(F.get("keys", F.lit(0)).eqNullSafe(F.element_at("keys", -1)), F.col("seen")).otherwise(0) + F.size(F.filter("keys", lambda k: k.eqNullSafe(F.element_at("keys", -1))))).alias("run"),
+        F.col("_metadata.file_name").alias("file"),
+    )
+    shards = own.groupBy("shard").agg(
+        F.first("file").alias("file"), F.sum("n_tokens").alias("n"), F.min(F.struct("block", "first")).alias("a"), F.max(F.struct("block", "last", "run")).alias("z")
+    )
+    rows, before, last, run = [], 0, _write_files, 0
+    for r in shards.orderBy("shard").collect():
+        seen = run if r.a["first"] == last else 0
+        rows.append((r.shard, r.file, before, r.a["first"], seen))
+        before += r.n
+        run = r.z["run"] + (seen if r.z["last"] == r.a["first"] else 0)
+        last = r.z["last"]
+    spark.createDataFrame(rows, _FILES).coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_FILES).parquet(f"{path}/files")
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """A row per stored document without its ids: key, shard, block, off, n."""
-    b = spark.read.schema(_SHARD).parquet(f"{path}/shards").select("shard", "block", "keys", "lens")
-    return b.mapInArrow(_entries, "key long, shard int, block int, off int, n int")
+    """A row per stored document without its ids: key, occ, shard, block, off, n."""
+    b = spark.read.schema(_SHARD).parquet(f"{path}/shards").select("shard", "block", "seen", "keys", "lens")
+    b = b.join(F.broadcast(files(spark, path).select("shard", "first_key", "first_seen")), "shard")
+    return b.select("shard", "block", "seen", "first_key", "first_seen", "keys", "lens").mapInArrow(_entries, "key long, occ int, shard int, block int, off int, n int")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, block, keys, lens in zip(*(c.to_pylist() for c in batch.columns)):
-            n = np.array(lens, np.int32)
+        for shard, block, seen, first, before, keys, lens in zip(*(c.to_pylist() for c in batch.columns)):
+            n, occ, run, last = np.array(lens, np.int32), [], seen, keys[0]
+            for k in keys:
+                run = run + 1 if k == last else 1
+                last = k
+                occ.append(run + (before if k == first else 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array((np.cumsum(n) - n).astype(np.int32)), pa.array(n)],
-                ["key", "shard", "block", "off", "n"],
+                [pa.array(keys, pa.int64()), pa.array(occ, pa.int32()), pa.array(np.full(len(n), shard, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array((np.cumsum(n) - n).astype(np.int32)), pa.array(n)],
+                ["key", "occ", "shard", "block", "off", "n"],
             )
 
 
@@ -178,12 +259,10 @@ def _hashed(df: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _write_index(spark: SparkSession, path: str) -> None:
-    from pyspark.sql import Window
-
-    entries = directory(spark, path)
     n = spark.read.schema(_SHARD).parquet(f"{path}/shards").select(F.sum(F.size("keys"))).first()[0] or 0
     n_buckets = max(1, -(-n // KEYS_PER_BUCKET))
-    ranked = entries.withColumn("occ", F.row_number().over(Window.partitionBy("key").orderBy("shard", "block", "off")))
+    parts = min(n_buckets, INDEX_PARTS)
+    entries = _hashed(directory(spark, path), n_buckets).withColumn("part", F.pmod("bucket", F.lit(parts)))
 
     def one(group: pa.Table) -> pa.Table:
         col = {c: group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("bucket", "h1", "h2", "shard", "block", "off", "n")}
@@ -193,19 +272,33 @@ def _write_index(spark: SparkSession, path: str) -> None:
         raw = {"pilots": pilots.astype("<u4"), "fps": mph.fingerprint(h2)[at].astype("<u4")} | {
             c: col[c][at].astype("<i4") for c in ("shard", "block", "off", "n")
         }
-        return pa.table({"bucket": pa.array([int(col["bucket"][0])], pa.int32()), "n_buckets": pa.array([n_buckets], pa.int32()), "n_keys": pa.array([len(h1)], pa.int32())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in raw.items()})
+        return pa.table({"part": pa.array([int(col["bucket"][0]) % parts], pa.int32()), "bucket": pa.array([int(col["bucket"][0])], pa.int32()), "n_buckets": pa.array([n_buckets], pa.int32()), "n_keys": pa.array([len(h1)], pa.int32())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in raw.items()})
 
-    _hashed(ranked, n_buckets).groupBy("bucket").applyInArrow(one, _INDEX).write.mode("overwrite").parquet(f"{path}/index")
+    # a part's buckets are one task's, so a folder has one file
+    built = entries.repartition("part").groupBy("part", "bucket").applyInArrow(one, "part int, " + _INDEX)
+    built.write.mode("overwrite").partitionBy("part").parquet(f"{path}/index")
 
 
 _INDEX = "bucket int, n_buckets int, n_keys int, pilots binary, fps binary, shard binary, block binary, off binary, n binary"
 
 
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_INDEX + ", part int").parquet(f"{path}/index")
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Locations of (key, occ) rows by the index: key, occ, shard, block, off, n; unknown keys are left out."""
-    index = spark.read.schema(_INDEX).parquet(f"{path}/index")
-    n_buckets = (index.select(F.max("n_buckets")).first() or [1])[0] or 1
+    n_buckets = (_index(spark, path).select("n_buckets").first() or [1])[0]
+    asked = _hashed(keys.select(F.col("key").cast("long"), F.col("occ").cast("int")), n_buckets)
+    few = [r.bucket for r in asked.select("bucket").limit(FEW_KEYS + 1).collect()]
+    index = _index(spark, path)
+    if len(few) <= FEW_KEYS:
+        parts = min(n_buckets, INDEX_PARTS)
+        index = index.where(F.col("part").isin(sorted({b % parts for b in few})) & F.col("bucket").isin(sorted(set(few))))
+    return _found(asked, index)
+
 
+def _found(asked: DataFrame, index: DataFrame) -> DataFrame:
     def found(group: pa.Table, idx: pa.Table) -> pa.Table:
         get = lambda c: group.column(c).combine_chunks()
         kinds = {"shard": pa.int32(), "block": pa.int32(), "off": pa.int32(), "n": pa.int32()}
@@ -218,7 +311,6 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         out = {"key": get("key"), "occ": get("occ")} | {c: pa.array(raw(c, "<i4")[slots], k) for c, k in kinds.items()}
         return pa.table(out).filter(real)
 
-    asked = _hashed(keys.select(F.col("key").cast("long"), F.col("occ").cast("int")), n_buckets)
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(found, "key long, occ int, shard int, block int, off int, n int")
 
 
@@ -239,30 +331,24 @@ def read(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
 
 def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    shards = spark.read.schema(_SHARD).parquet(f"{path}/shards")
+    """shard, block, width, ids, hits, block_start (ids in the store before the block) of the blocks that hold keys."""
+    of = files(spark, path)
     hits = lookup(spark, path, keys).groupBy("shard", "block").agg(F.collect_list(F.struct("key", "occ", "off", "n")).alias("hits"))
+    names: str | list[str] = f"{path}/shards"
+    if len(keys.select(F.lit(1)).limit(FEW_KEYS + 1).collect()) <= FEW_KEYS:
+        hits = written(hits)
+        shards = [r.shard for r in hits.select("shard").distinct().collect()]
+        names = [f"{path}/shards/{r.file}" for r in of.where(F.col("shard").isin(shards)).collect()]
+    blocks = spark.read.schema(_SHARD).parquet(*([names] if isinstance(names, str) else names)) if names else spark.createDataFrame([], _SHARD)
+    starts = F.broadcast(of.select("shard", "shard_start"))  # a row per partition of the write
     return (
-        shards.select("shard", "block", "width", "ids")
+        blocks.select("shard", "block", "width", "ids", "at")
         .join(hits, ["shard", "block"])
-        .join(_block_starts(spark, path), ["shard", "block"])
+        .join(starts, "shard")
+        .withColumn("block_start", F.col("shard_start") + F.col("at"))
     )
 
 
-def _block_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each block. The shards' totals, a row per shard, pass through the driver."""
-    from pyspark.sql import Window
-
-    sizes = spark.read.schema(_SHARD).parquet(f"{path}/shards").select("shard", "block", "n_tokens")
-    before, rows = 0, []
-    for shard, n in sizes.groupBy("shard").agg(F.sum("n_tokens")).orderBy("shard").collect():
-        rows.append((shard, before))
-        before += n
-    starts = spark.createDataFrame(rows, "shard int, shard_start long")
-    w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = sizes.withColumn("in_shard", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    return inside.join(starts, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("block_start"))
-
-
 def digest(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Per stored key: doc_id, occ, start, n_tokens, ids_crc32 over its ids as little-endian uint32."""
 
@@ -284,7 +370,6 @@ def digest(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return _located(spark, path, keys).mapInArrow(sums, "doc_id long, occ int, start long, n_tokens long, ids_crc32 long")
 
 
-def all_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, occ) of every row of docs."""
-    n = only(docs, key=key).groupBy(F.col("key").cast("long").alias("key")).count()
-    return n.select("key", F.explode(F.expr("sequence(1, cast(count as int))")).alias("occ"))
+def stored_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key, occ) of every stored document."""
+    return directory(spark, path).select("key", "occ")

@@ -14,7 +14,7 @@ ROWS = [
     (5, LONG, "de", "b", len(LONG)), (5, LONG, "de", "b", len(LONG)), (6, "un deux trois quatre cinq six sept huit neuf dix onze", "fr", "c", 9),
     (7, "ab", "fr", None, 2), (8, " \n\t ", "fr", "c", 4), (9, "\U0001f600 café 中文 x@y.org", "fr", "c", 9),
 ]
-EXTRA = ("h", "n", "t", "rep", "node", "comp", "bands", "key", "k", "kind", "group", "bin", "size", "cluster", "host", "rest", "gone", "first", "last", "root", "class_id")
+EXTRA = ("h", "n", "t", "rep", "m", "u", "v", "w", "body", "stream", "blocks", "kept", "part", "occ", "row", "n_tokens", "bin_offset", "share", "rn", "before", "copies", "links", "parent", "comp", "h1", "text_", "doc_id_", "node", "bands", "key", "k", "kind", "group", "bin", "size", "cluster", "host", "rest", "gone", "first", "last", "root", "class_id")
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def _tokens(path):
 
     def run(d):
         token_store.write(d, path, public_tokenizers.path("byte_bpe_50k.json"))
-        return token_store.digest(d.sparkSession, path, token_store.all_keys(d))
+        return token_store.digest(d.sparkSession, path, token_store.stored_keys(d.sparkSession, path))
 
     return run
 
@@ -45,7 +45,7 @@ def _tokens(path):
 def _runs(spark, items):
     return {
         "tokens": lambda d: _tokens(shared_dir(spark))(d),
-        "pii": pii.mask,
+        "pii": lambda d: pii.mask(d, b"k"),
         "ngrams": ngram_join.join,
         "leaks": lambda d: decontaminate.digest(decontaminate.scan(d, items)),
         "langid": langid.identify,
@@ -76,6 +76,7 @@ def test_defined_results(spark, docs, items):
     s = {r.doc_id: r for r in substring_dedup.dedup(docs).collect()}
     assert s[1].text is None and s[4].n_removed <= s[5].n_removed and s[5].text == ""
     p = packing.sequences(docs)
+    assert sorted(map(str, p.collect())) == sorted(map(str, packing.sequences(docs.withColumns({c: F.lit(1) for c in EXTRA})).collect()))
     got = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert {r.doc_id: r.n for r in got}[4] == 60_000 and p.where("bin is null").count() == 3
     assert packing.sequences(docs.limit(0)).count() == 0
@@ -84,7 +85,7 @@ def test_defined_results(spark, docs, items):
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, docs, sf, tmp_path, k):
     name, stage = corpus_pipeline.STAGES[k]
-    for d in (docs, docs.limit(0), docs.withColumn("h", F.lit(1)).withColumn("n", F.lit(2))):
+    for d in (docs, docs.limit(0), docs.withColumns({c: F.lit(1) for c in ("h", "n", "n_tokens", "row", "k", "cluster", "size")})):
         out = stage(spark, d, sf)
         rows = out.collect()
         if k < len(corpus_pipeline.STAGES) - 1:
@@ -96,10 +97,10 @@ def test_stages(spark, docs, sf, tmp_path, k):
 
 def test_chat_and_pages(spark):
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", "b"), (1, None, None, "x"), (None, 2, "assistant", ""), (2, 1, "a\nb\\", "<|im_sep|>\\|<|")], "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.formatted(turns.withColumn("ts", F.lit(1))).select("conv_id", chat.turns_of(F.col("formatted")).alias("turns")).collect()}
+    out = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.formatted(turns.withColumns({c: F.lit(1) for c in ("ts", "t", "starts", "blocks", "formatted", "loss_runs")})).select("conv_id", chat.turns_of(F.col("formatted")).alias("turns")).collect()}
     assert out == {1: [("", "x"), ("user", ""), ("user", "b")], None: [("assistant", "")], 2: [("a\nb\\", "<|im_sep|>\\|<|")]}
     assert chat.digest(chat.formatted(turns.limit(0))).count() == 0
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://h/", ""), (3, "http://h/", "<article>" + "w " * 200_000 + "</article>"), (4, "x", "no tags &lt;")], "page_id long, url string, html string")
-    got = sorted((str(r.page_id), r.text[:9], r.n_chars) for r in html_extract.extract(pages.withColumn("host", F.lit(1))).collect())
+    got = sorted((str(r.page_id), r.text[:9], r.n_chars) for r in html_extract.extract(pages.withColumns({c: F.lit(1) for c in ("host", "stream", "rest", "blocks", "kept", "body", "size", "part", "text")})).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("3", "w w w w w", 399_999), ("4", "no tags <", 9), ("None", "", 0)]
     assert html_extract.extract(pages.limit(0)).count() == 0

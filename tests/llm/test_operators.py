@@ -1,6 +1,9 @@
 """Operators against brute force, exact round trips, or held-out accuracy."""
 
+import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -38,7 +41,7 @@ def test_token_store_round_trip(spark, sf):
     for table in (docs, common.table(spark, sf, "documents")):
         path = common.shared_dir(spark)
         token_store.write(table, path, public_tokenizers.path("byte_bpe_50k.json"))
-        got = token_store.read(spark, path, token_store.all_keys(table)).orderBy("start").collect()
+        got = token_store.read(spark, path, token_store.stored_keys(spark, path)).orderBy("start").collect()
         start, texts = 0, defaultdict(list)
         for r in table.collect():
             texts[r.doc_id].append([*t.encode(r.text or "", add_special_tokens=False).ids, 0])
@@ -47,7 +50,7 @@ def test_token_store_round_trip(spark, sf):
             ids = np.frombuffer(r.ids, f"<u{r.width}").tolist()
             assert ids in texts[r.key] and (r.start, r.n_tokens) == (start, len(ids))
             start += len(ids)
-        digest = {(r.doc_id, r.occ): r.ids_crc32 for r in token_store.digest(spark, path, token_store.all_keys(table)).collect()}
+        digest = {(r.doc_id, r.occ): r.ids_crc32 for r in token_store.digest(spark, path, token_store.stored_keys(spark, path)).collect()}
         assert all(zlib.crc32(np.frombuffer(r.ids, f"<u{r.width}").astype("<u4").tobytes()) == digest[r.key, r.occ] for r in got)
     missing = spark.createDataFrame([(123456789, 1), (3, 2)], "key long, occ int")
     assert token_store.lookup(spark, path, missing).count() == 0
@@ -81,7 +84,7 @@ def test_feistel_is_a_permutation_without_fixed_points(n, key):
 
 def test_pii_leaves_no_original_and_other_text_alone(spark, sf):
     docs = common.table(spark, sf, "documents")
-    new = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    new = {r.doc_id: r.text for r in pii.mask(docs, b"k").collect()}
     for r in docs.collect():
         found = pii.find(r.text)
         assert all(r.text[a:b] not in new[r.doc_id] for a, b, k in found)
@@ -256,9 +259,96 @@ def test_repeated_words_against_brute_force(text):
     assert quality.Text(text).n_repeat_words == len({i + k for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for k in range(5)})
 
 
+def _structure(page):
+    return "\n\n".join(text for _, text in html_extract._read(page)[0])
+
+
 def test_page_structure():
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><div class="cookie-notice">Accept</div><article><header><h1>Head &amp; line</h1></header><p>One <b>bold<br>two &am; x&nbsp;y</p><aside>Ad</aside><div id="comments"><p>first!</p></div><form>q</form><p>End</article><footer>&copy; z</footer>'
-    assert html_extract._read(page)[0] == "Head & line\n\nOne bold two &am; x y\n\nEnd"
+    assert _structure(page) == "Head & line\n\nOne bold two &am; x y\n\nEnd"
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<div class="entry-header"><h1>Title</h1></div>x', "Title\n\nx"), ('<h1 class="page-header">Title</h1>', "Title"), ('<section class="related-work"><p>w</p></section>', "w"),
+        ('<p class="market-share">half</p>', "half"), ("a <math><mi>x</mi></math> b", "a x b"), ('a<section class="discussion">t<article>first!</article></section>', "a\n\nt"),
+        ('a<div class="relatedPosts">r</div><div class="share-buttons">s</div><p class="ad">buy</p><div data-class="nav">n</div>', "a\n\nn"),
+        ("a < b <!-- c --> d<!-->e</>f<?x y?>g", "a < b defg"), ('<p class="ad">x<p>y<li class="share">z<li>w', "y\n\nw"), ("a<p title='it>s'>b<p title=\"open>c<a href", "a\n\nb\n\nc"),
+    ],
+)
+def test_what_is_main_text(inside, want):
+    assert _structure(f"<nav>home</nav><article>{inside}</article><footer>f</footer>") == want
+
+
+@pytest.mark.parametrize("part", ["<script ", '<a href="', "<!--", "<p class='", "<a b='>", "<script>", "< ", "</", "<p><b>x", "<div>", "</span><div>", "<li>", '<div class="'])
+def test_broken_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_extract.blocks_of(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 15
+
+
+def _brute_text(host, me):
+    """The text of a host's page by counting windows of words over its distinct pages (lists of kind, text)."""
+    n = html_extract.MIN_RUN
+
+    def windows(page):
+        flat = [(b, k, w) for b, (kind, text) in enumerate(page) for k, w in enumerate(text.split(" "))] if page else []
+        return [(tuple(w for _, _, w in flat[i : i + n]), flat[i : i + n]) for i in range(len(flat) - n + 1)]
+
+    on = Counter(w for page in {tuple(p) for p in host} for w in {w for w, _ in windows(page)})
+    of = len({tuple(p) for p in host})
+    often = lambda c, least, share: c >= least and c * share[1] >= of * share[0]
+    marks = {"again": set(), "often": set(), "mostly": set()}
+    for w, places in windows(host[me]):
+        for name, hit in (("again", on[w] > 1), ("often", often(on[w], html_extract.OFTEN, html_extract.SHARE)), ("mostly", often(on[w], html_extract.MAIN_OFTEN, html_extract.MAIN_SHARE))):
+            if hit:
+                marks[name] |= {(b, k) for b, k, _ in places}
+    out = []
+    for b, (kind, text) in enumerate(host[me]):
+        words = text.split(" ")
+        at = lambda name: [(b, k) in marks[name] for k in range(len(words))]  # noqa: E731, B023
+        if kind == html_extract.CHROME or all(at("mostly" if kind == html_extract.END else "again")):
+            continue
+        keep = [True] * len(words)
+        if kind == html_extract.PLAIN:
+            flags = "".join("x" if f else "." for f in at("often"))
+            for m in re.finditer(f"x{{{n},}}", flags):
+                keep[m.start() : m.end()] = [False] * (m.end() - m.start())
+        out.append(" ".join(w for w, k in zip(words, keep) if k))
+    return "\n\n".join(x for x in out if x)
+
+
+@pytest.mark.parametrize("seed, tokens", [(1, 500_000), (1, 60), (2, 500_000), (3, 25)])
+def test_runs_against_brute_force(spark, monkeypatch, seed, tokens):
+    """Random pages of hosts from a pool of phrases, some in most pages; also which rows the suffix array changes."""
+    monkeypatch.setattr(html_extract, "PART_TOKENS", tokens)
+    rng = random.Random(seed)
+    phrase = [" ".join(f"p{i}w{k}" for k in range(rng.randrange(2, 12))) for i in range(14)]
+    rows, hosts = [], defaultdict(list)
+    for i in range(48):
+        some = lambda: " ".join(rng.choice(phrase) if rng.random() < 0.5 else f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 6)))
+        main = [some() for _ in range(rng.randrange(0, 5))] + ([phrase[0] + " " + phrase[1] + " share this"] if rng.random() < 0.9 else [])
+        page = f"<nav>{some()}</nav>" + "".join(f"<p>{some()}</p>" for _ in range(rng.randrange(0, 3))) + ("<article>" + "".join(f"<p>{m}</p>" for m in main) + "</article>" if main else "") + f"<div>{some()}</div><footer>{phrase[2]}</footer>"
+        hosts[i % 3].append(page)
+        rows.append((i, f"https://h{i % 3}.example/{i}", page))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    streams = {h: [[b for b in html_extract._read(p)[1]] for p in own] for h, own in hosts.items()}
+    assert all(len(html_extract._read(p)[0]) <= 2 * html_extract.EDGE + 3 and all(k != html_extract.GAP for k, _ in html_extract._read(p)[1]) for own in hosts.values() for p in own)
+    changed = 0
+    for i, _, page in rows:
+        assert got[i] == _brute_text(streams[i % 3], i // 3)
+        changed += got[i] != _structure(page)
+    assert changed > 10
+
+
+def test_furniture_at_the_ends_of_articles_goes(spark):
+    offer = "subscribe to our letter and never miss a story again"
+    own = lambda i: " ".join(f"m{i}x{k}" for k in range(9))
+    rows = [(i, f"https://h.example/{i}", f"<article><h1>t {i}</h1>" + f"<p>{own(i)}</p>" * 6 + (f"<p>{offer}</p>" if i else "") + f"<div>by{i}</div></article>") for i in range(10)]
+    rows += [(20 + i, f"https://few.example/{i}", f"<article><p>{own(i)}</p><p>{offer}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(offer not in got[i] and got[i].count(own(i)) == 6 and f"by{i}" in got[i] for i in range(10)) and all(offer in got[20 + i] for i in range(5))
 
 
 def test_host_suffix_array_removes_repeated_runs(spark, monkeypatch):
@@ -352,9 +442,153 @@ def test_pipeline_against_brute_force(spark, sf):
     sizes = {len(g) for g in grams}
     bad = lambda w: any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1))
     kept = [r for r in kept if not bad(common.words_of(r.text))]
-    names = pii.Pseudonyms()
-    want = {r.doc_id: len(pii.replaced(r.text, names)[0].encode().split()) for r in kept}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    names, t = pii.Pseudonyms(hashlib.blake2b(b"a secret").digest()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = {r.doc_id: len(t.encode(pii.replaced(r.text, names)[0], add_special_tokens=False).ids) + 1 for r in kept}
+    spark.conf.set(pii.KEY, "a secret")
     got = Counter()
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id] += r.n_tokens
+    spark.conf.unset(pii.KEY)
     assert dict(got) == want
+
+
+@pytest.fixture
+def many_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_few_keys_open_few_files(many_files, spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_store, "KEYS_PER_BUCKET", 16)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text")).repartition(4)
+    path = str(tmp_path / "store")
+    token_store.write(docs.unionByName(docs.where("doc_id between 100 and 300")), path, public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(spark.read.parquet(f"{path}/shards").inputFiles()) > 1
+    one = spark.createDataFrame([(250, 2)], "key long, occ int")
+    read = token_store.read(spark, path, one)
+    used = [f for f in read.inputFiles() if "/shards/" in f]
+    assert len(used) == 1 and [(r.key, r.occ) for r in read.collect()] == [(250, 2)]
+    parts = [f for f in token_store.lookup(spark, path, one)._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in f]
+    assert any("part" in f.split("PartitionFilters")[1] for f in parts)
+    everything = token_store.stored_keys(spark, path)
+    monkeypatch.setattr(token_store, "FEW_KEYS", 3)
+    by_join = {(r.key, r.occ): (r.start, r.ids) for r in token_store.read(spark, path, everything).collect()}
+    monkeypatch.setattr(token_store, "FEW_KEYS", 10_000)
+    assert by_join == {(r.key, r.occ): (r.start, r.ids) for r in token_store.read(spark, path, everything).collect()}
+    assert sorted(by_join) == sorted([(k, 1) for k in range(400)] + [(k, 2) for k in range(100, 301)])
+
+
+def test_one_key_over_several_shards(many_files, spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.range(300).select(F.when(F.col("id") < 250, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(5)
+    token_store.write(docs, str(tmp_path / "s"), public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted((r.key, r.occ) for r in token_store.directory(spark, str(tmp_path / "s")).collect())
+    assert got == [(7, i) for i in range(1, 251)] + [(k, 1) for k in range(250, 300)]
+
+
+def test_other_tokenizers_are_not_split_by_rule():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 0).by_rule
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = token_store.Encoder(path, 0), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    text = "Hello World's 12 days <|endoftext|> caf\u00e9"
+    assert not e.by_rule and np.frombuffer(e.encode([text])[0], f"<u{e.width}").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_training_text_is_bounded(spark):
+    docs = spark.createDataFrame([(0, "word " * 2_000_000, "en")] + [(i, f"text of {i} " * 30, f"l{i}") for i in range(1, 201)], "doc_id long, text string, lang string")
+    texts = langid.training_texts(docs)
+    assert len(texts) == 201 and all(sum(map(len, v)) <= langid.TRAIN_BYTES for v in texts.values())
+    model = langid.Model(texts)
+    assert sum(t.size for t in model.tables) <= langid.MODEL_CELLS
+    assert langid.Model({"en": texts["en"]}).predict(["some words", None, "7"]) == (["en", "und", "und"], [1.0, 0.0, 0.0])
+
+
+def test_sequences_hold_the_ids_in_order(spark, sf, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = common.table(spark, sf, "documents")
+    token_store.write(docs, str(tmp_path / "s"), path)
+    tokens = token_store.read(spark, str(tmp_path / "s"), token_store.stored_keys(spark, str(tmp_path / "s"))).withColumnRenamed("key", "doc_id").where("occ = 1")
+    placed = packing.sequences(docs, capacity=500, group_tokens=50_000, tokenizer_path=path)
+    ids = {r.doc_id: np.frombuffer(r.ids, f"<u{r.width}") for r in tokens.collect()}
+    rows = defaultdict(list)
+    for r in placed.where("bin is not null").collect():
+        rows[r.group, r.bin].append(r)
+    made = packing.token_sequences(placed, tokens, 500).collect()
+    assert len(made) == len(rows)
+    for s in made:
+        own = sorted(rows[s.group, s.bin], key=lambda r: r.bin_offset)
+        want = np.concatenate([ids[r.doc_id][r.piece * 500 : r.piece * 500 + r.n_tokens] for r in own])
+        assert s.n_tokens == len(want) <= 500 and np.frombuffer(s.ids, f"<u{s.width}").tolist() == want.tolist()
+
+
+def test_rule_order_is_greedy_and_reasons_are_fixed(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    order = quality.ordered(docs)
+    assert sorted(order) == sorted(quality.RULES)
+    reasons = {r.doc_id: r.failed_rule for r in quality.filtered(docs, reasons=True).collect()}
+    for r in docs.collect():
+        assert reasons[r.doc_id] == quality.first_failed(quality.Text(r.text), list(quality.RULES))
+    assert quality._sample(docs, "text", 50).count() == 50
+
+
+def test_filter_by_parts_of_the_benchmark(spark, sf, monkeypatch):
+    docs, items = common.table(spark, sf, "documents"), common.table(spark, sf, "benchmark")
+    want = sorted(r.doc_id for r in decontaminate.filtered(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 40_000)
+    assert sorted(r.doc_id for r in decontaminate.filtered(docs, items).collect()) == want
+    assert sorted(r.doc_id for r in decontaminate.scan(docs, items).where("n_hit = 0").collect()) == want
+
+
+def _luhn_ok(digits):
+    return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["4539148803436467", "4539148803436468", "10.0.0.255", "10.0.0.256", "2020-02-29", "2021-02-29", "25/12/2021", "12/25/2021", "13/13/2021", "3/7/2021", "1.2.1999", "x@y.org", "word", "123-45-6789", "000-45-6789"]), max_size=6))
+def test_finds_against_plain_validation(parts):
+    """Values between spaces, judged one by one with split and int."""
+
+    def kind(v):
+        if "@" in v:
+            return "email"
+        if v.count(".") == 3:
+            return "ip" if all(int(x) < 256 for x in v.split(".")) else None
+        if v.isdigit():
+            return "card" if _luhn_ok(v) else None
+        if v == "000-45-6789" or v == "word":
+            return None
+        if v.count("-") == 2 and len(v) == 11:
+            return "ssn"
+        a, b, c = (int(x) for x in re.split("[-/.]", v))
+        y, m, d = (a, b, c) if a > 31 else (c, a, b) if "/" in v and a <= 12 else (c, b, a)
+        leap = y % 4 == 0
+        return "date" if 1 <= m <= 12 and 1 <= d <= [31, 28 + leap, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m - 1] else None
+
+    text = "  ".join(parts)
+    assert [(text[a:b], k) for a, b, k in pii.find(text)] == [(v, kind(v)) for v in parts if kind(v)]
+    names = pii.Pseudonyms(b"s")
+    for a, b, k in pii.find(text):
+        w = names.replace(k, text[a:b])
+        assert w != text[a:b] and names.inverse(k, w) == text[a:b] and pii.find(w) == [(0, len(w), k)]
+        assert "example" not in w and (k != "email" or not w.endswith("@y.org"))
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = common.joined(left, right, ["k"], "n", 5000)
+    assert got.columns == ["k", "id", "n", "least"] and sorted(got.collect()) == sorted(left.join(right, "k").collect())
