@@ -29,14 +29,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms; n_chars follows the new text."""
-    out = pii.masked(docs)
+    """Personal data becomes pseudonyms under the session's key; n_chars follows the new text."""
+    out = pii.masked(docs, pii.secret(spark))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of packing.CAPACITY words: a row per piece of a document and its place."""
-    return packing.sequences(docs)
+    """Sequences of packing.CAPACITY token ids: a row per piece of a document and its place."""
+    import public_tokenizers
+
+    return packing.sequences(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
