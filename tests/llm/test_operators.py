@@ -293,8 +293,9 @@ def _brute_text(host, me):
     n = html_extract.MIN_RUN
 
     def windows(page):
-        flat = [(b, k, w) for b, (kind, text) in enumerate(page) for k, w in enumerate(text.split(" "))] if page else []
-        return [(tuple(w for _, _, w in flat[i : i + n]), flat[i : i + n]) for i in range(len(flat) - n + 1)]
+        flat = [(b, k, w, kind) for b, (kind, text) in enumerate(page) for k, w in enumerate(text.split(" "))]
+        each = [flat[i : i + n] for i in range(len(flat) - n + 1)]
+        return [(tuple(w for _, _, w, _ in x), x) for x in each if all(kind != html_extract.TEXT for *_, kind in x)]
 
     on = Counter(w for page in {tuple(p) for p in host} for w in {w for w, _ in windows(page)})
     of = len({tuple(p) for p in host})
@@ -303,12 +304,12 @@ def _brute_text(host, me):
     for w, places in windows(host[me]):
         for name, hit in (("again", on[w] > 1), ("often", often(on[w], html_extract.OFTEN, html_extract.SHARE)), ("mostly", often(on[w], html_extract.MAIN_OFTEN, html_extract.MAIN_SHARE))):
             if hit:
-                marks[name] |= {(b, k) for b, k, _ in places}
+                marks[name] |= {(b, k) for b, k, *_ in places}
     out = []
     for b, (kind, text) in enumerate(host[me]):
         words = text.split(" ")
         at = lambda name: [(b, k) in marks[name] for k in range(len(words))]  # noqa: E731, B023
-        if kind == html_extract.CHROME or all(at("mostly" if kind == html_extract.END else "again")):
+        if kind == html_extract.CHROME or (kind != html_extract.TEXT and all(at("mostly" if kind == html_extract.END else "again"))):
             continue
         keep = [True] * len(words)
         if kind == html_extract.PLAIN:
@@ -328,16 +329,16 @@ def test_runs_against_brute_force(spark, monkeypatch, seed, tokens):
     rows, hosts = [], defaultdict(list)
     for i in range(48):
         some = lambda: " ".join(rng.choice(phrase) if rng.random() < 0.5 else f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 6)))
-        main = [some() for _ in range(rng.randrange(0, 5))] + ([phrase[0] + " " + phrase[1] + " share this"] if rng.random() < 0.9 else [])
+        main = [some() for _ in range(rng.randrange(0, 7))] + ([phrase[0] + " " + phrase[1] + " share this"] if rng.random() < 0.9 else [])
         page = f"<nav>{some()}</nav>" + "".join(f"<p>{some()}</p>" for _ in range(rng.randrange(0, 3))) + ("<article>" + "".join(f"<p>{m}</p>" for m in main) + "</article>" if main else "") + f"<div>{some()}</div><footer>{phrase[2]}</footer>"
         hosts[i % 3].append(page)
         rows.append((i, f"https://h{i % 3}.example/{i}", page))
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    streams = {h: [[b for b in html_extract._read(p)[1]] for p in own] for h, own in hosts.items()}
-    assert all(len(html_extract._read(p)[0]) <= 2 * html_extract.EDGE + 3 and all(k != html_extract.GAP for k, _ in html_extract._read(p)[1]) for own in hosts.values() for p in own)
+    kinds = {h: [html_extract.kinds_of(p) for p in own] for h, own in hosts.items()}
+    assert {k for own in kinds.values() for p in own for k, _ in p} == {html_extract.CHROME, html_extract.PLAIN, html_extract.END, html_extract.TEXT}
     changed = 0
     for i, _, page in rows:
-        assert got[i] == _brute_text(streams[i % 3], i // 3)
+        assert got[i] == _brute_text(kinds[i % 3], i // 3)
         changed += got[i] != _structure(page)
     assert changed > 10
 
