@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stumpwright.functions.arithmetic import lcg
 
 SIDE = 8
-IMAGE_WIDTH, IMAGE_HEIGHT = 24, 24
+#: Images are 24 wide and 24 to 96 high; a document gives as many as its text needs.
+IMAGE_WIDTH, IMAGE_HEIGHT, IMAGE_MOST = 24, 24, 96
 
 #: stage -> threshold
 STAGES = ((0, 0.2909), (1, 0.3868), (2, 0.3773))
@@ -62,12 +63,16 @@ def patch_pixels(p: DataFrame) -> DataFrame:
 
 
 def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, px, h, w: the first 24 x 24 characters of documents as code points modulo 256."""
-    n = IMAGE_WIDTH * IMAGE_HEIGHT
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= n)
-    characters = F.regexp_extract_all(F.substr("text", F.lit(1), F.lit(n)), F.lit("(?s)."), F.lit(0))
-    px = F.transform(characters, lambda c: F.ascii(c) % 256)
-    return d.select(F.col("doc_id").alias("image_id"), px.alias("px"), F.lit(IMAGE_HEIGHT).alias("h"), F.lit(IMAGE_WIDTH).alias("w"))
+    """image_id, px, h, w: whole documents as pixels, a code point modulo 256 each, in images of at most
+    IMAGE_MOST rows; rows that a text doesn't fill are zero. A null or empty text has no image."""
+    n = IMAGE_WIDTH * IMAGE_MOST
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    d = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / n).cast("int") - 1)).alias("k"))
+    d = d.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("image_id"), F.substr("text", F.col("k") * n + 1, F.lit(n)).alias("t"))
+    d = d.withColumn("h", F.greatest(F.lit(IMAGE_HEIGHT), F.ceil(F.length("t") / IMAGE_WIDTH).cast("int")))
+    px = F.transform(F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) % 256)
+    rest = F.array_repeat(F.lit(0), F.col("h") * IMAGE_WIDTH - F.length("t"))
+    return d.select("image_id", F.concat(px, rest).alias("px"), "h", F.lit(IMAGE_WIDTH).alias("w"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

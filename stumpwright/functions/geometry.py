@@ -97,6 +97,20 @@ def similarity(le: Column, re: Column, eyes: tuple[tuple[float, float], tuple[fl
     return F.when(n > 0, t)
 
 
+def similarity_of(points: list[Column], targets: list[tuple[float, float]]) -> Column:
+    """The 2 x 3 similarity that maps points (structs x, y) onto targets with the least squared error: struct(a, b,
+    tx, ty) as in ``similarity``, which it equals for two points; NULL for points that all coincide."""
+    n = float(len(points))
+    mean = lambda axis: sum((p[axis] for p in points[1:]), points[0][axis]) / n
+    mx, my, ux, uy = mean("x"), mean("y"), sum(x for x, _ in targets) / n, sum(y for _, y in targets) / n
+    size, same, turned = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for p, (tx, ty) in zip(points, targets, strict=True):
+        sx, sy, dx, dy = p["x"] - mx, p["y"] - my, tx - ux, ty - uy
+        size, same, turned = size + sx * sx + sy * sy, same + sx * dx + sy * dy, turned + sx * dy - sy * dx
+    a, b = same / size, turned / size
+    return F.when(size > 0, F.struct(a.alias("a"), b.alias("b"), (ux - a * mx + b * my).alias("tx"), (uy - b * mx - a * my).alias("ty")))
+
+
 def padded_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """A box padded by CROP_PAD of its size, truncated and clipped to the image; ok if both sides reach MIN_CROP."""
     x1 = F.greatest((x - w * CROP_PAD).cast("int"), F.lit(0))

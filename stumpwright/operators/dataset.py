@@ -27,7 +27,7 @@ def crop(px: Column, width: int, x: Column, y: Column, w: int, h: int) -> Column
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda r: F.slice(px, ((y + r) * width + x + 1).cast("int"), w)))
 
 
-def reflect_crop(px: Column, width: int, height: int, left: Column, top: Column, side: int) -> Column:
+def reflect_crop(px: Column, width: int, height: Column | int, left: Column, top: Column, side: int) -> Column:
     """Square crop whose outside is reflected at the image's edges."""
     ks = F.sequence(F.lit(0), F.lit(side * side - 1))
     return F.transform(ks, lambda k: F.element_at(px, (reflected(top + F.floor(k / side).cast("int"), height) * width + reflected(left + k % side, width) + 1).cast("int")))
@@ -97,6 +97,18 @@ def grid_layout(rows: DataFrame, order: list[Column | str], columns: int, cell:
     return out.withColumn("x", pad + F.col("col") * (cell + pad)).withColumn("y", pad + F.col("row") * (cell + pad)).drop("i")
 
 
+def pixel_stats(patches: DataFrame, *by: str) -> DataFrame:
+    """by, n, mean, std: count, pixel mean and deviation per group, from sums per patch."""
+    s = patches.select(*by, F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("a"), F.aggregate("px", F.lit(0.0), lambda a, x: a + x * x).alias("b"), F.size("px").alias("k"))
+    mean = F.sum("a") / F.sum("k")
+    return s.groupBy(*by).agg(F.count("*").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("b") / F.sum("k") - mean * mean, F.lit(0.0))).alias("std"))
+
+
+def value_stats(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """by, n, mean, std of a column."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+
+
 def mean_image(pixels: DataFrame) -> DataFrame:
     """r, c, mean over (r, c, p) rows."""
     return pixels.groupBy("r", "c").agg(F.avg("p").alias("mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stumpwright.functions.integral import integral_wide, rect_sum, window_std, xml_norm
-from stumpwright.functions.resample import resize_array
+from stumpwright.functions.resample import resize_array, resized
 from stumpwright.operators.cascade import Cascade, vote
 from stumpwright.operators.haar import signed_cells
 
@@ -70,9 +70,11 @@ def window_stds(grid: DataFrame, width: int) -> DataFrame:
 
 def detections(images: DataFrame, model: Cascade, width: int, height: int, min_score: float | None = None, **pyramid_options) -> DataFrame:
     """image_id, x1, y1, x2, y2, score: windows that pass every stage; the score is the sum of their
-    margins over the stages. images: image_id, px, h, w, all of one size (width, height).
+    margins over the stages. images: image_id, px, h, w, all of one width and at least of the height.
 
-    One filter a stage, in order: a window that fails pays for no later stage.
+    One filter a stage, in order: a window that fails pays for no later stage. A window's row carries
+    the integral images of its image, so this form is for images of a few windows; ``detections_arrow``
+    is for others.
     """
     s = scales(images.sparkSession, (model.width, model.height), (width, height), **pyramid_options)
     out = window_stds(window_grid(with_integrals(spread(images), width), s), width).withColumn("margin", F.lit(0.0))
@@ -104,29 +106,59 @@ def detections_arrow(images: DataFrame, model: Cascade, min_score: float | None
     return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, score double")
 
 
-def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
-    """x1, y1, x2, y2, score of the windows of one image that pass every stage."""
-    a = px.astype(np.int64).reshape(h, w)
-    ii, ii2 = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel() for x in (a, a * a))
-    row = w + 1
+class _Integrals:
+    """The two integral images of an image, and sums over arrays of rectangles."""
+
+    def __init__(self, px: np.ndarray, h: int, w: int):
+        a = px.astype(np.int64).reshape(h, w)
+        self.row = w + 1
+        self.plain, self.squared = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel() for x in (a, a * a))
+
+    def sums(self, t: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        return t[y2 * self.row + x2] - t[y1 * self.row + x2] - t[y2 * self.row + x1] + t[y1 * self.row + x1]
+
+    def std(self, x: np.ndarray, y: np.ndarray, w: int, h: int) -> np.ndarray:
+        area, box = float(w * h), (x, y, x + w, y + h)
+        mean = self.sums(self.plain, *box) / area
+        return np.maximum(np.sqrt(np.maximum(self.sums(self.squared, *box) / area - mean * mean, 0.0)), 1.0)
 
-    def sums(t: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
-        return t[y2 * row + x2] - t[y1 * row + x2] - t[y2 * row + x1] + t[y1 * row + x1]
 
+def _origins(h: int, w: int, win_h: int, win_w: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h - win_h + 1, step), np.arange(0, w - win_w + 1, step), indexing="ij"))
+    return x, y
+
+
+def window_stds_arrow(images: DataFrame, base: tuple[int, int], **pyramid_options) -> DataFrame:
+    """image_id, level, ox, oy, std of every window, for images of any size: a window's row never carries its image."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, h, w, px in zip(*(batch.column(c) for c in range(4))):
+                h, w = h.as_py(), w.as_py()
+                ii = _Integrals(px.values.to_numpy(zero_copy_only=False), h, w)
+                for level, _, win_w, win_h, step in pyramid(base, (w, h), **pyramid_options):
+                    x, y = _origins(h, w, win_h, win_w, step)
+                    cols = [pa.array([image.as_py()] * len(x), batch.schema.field(0).type), *(pa.array(v.astype(np.int32)) for v in (np.full(len(x), level), x, y)), pa.array(ii.std(x, y, win_w, win_h))]
+                    yield pa.RecordBatch.from_arrays(cols, ["image_id", "level", "ox", "oy", "std"])
+
+    return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, level int, ox int, oy int, std double")
+
+
+def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
+    """x1, y1, x2, y2, score of the windows of one image that pass every stage."""
+    ii = _Integrals(px, h, w)
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
     for _, scale, win_w, win_h, step in pyramid((model.width, model.height), (w, h), **options):
-        y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h - win_h + 1, step), np.arange(0, w - win_w + 1, step), indexing="ij"))
-        area = float(win_w * win_h)
-        mean = sums(ii, x, y, x + win_w, y + win_h) / area
-        std = np.maximum(np.sqrt(np.maximum(sums(ii2, x, y, x + win_w, y + win_h) / area - mean * mean, 0.0)), 1.0)
-        margin = np.zeros(len(x))
+        x, y = _origins(h, w, win_h, win_w, step)
+        std, margin = ii.std(x, y, win_w, win_h), np.zeros(len(x))
         for stage in model.stages:
             total = np.zeros(len(x))
             for s in stage.stumps:
                 value = 0
                 for dx, dy, sign in signed_cells(s.kind):
                     left, top = s.x + dx * s.w, s.y + dy * s.h
-                    value = value + sign * sums(ii, x + int(left * scale), y + int(top * scale), x + int((left + s.w) * scale), y + int((top + s.h) * scale))
+                    value = value + sign * ii.sums(ii.plain, x + int(left * scale), y + int(top * scale), x + int((left + s.w) * scale), y + int((top + s.h) * scale))
                 total += s.alpha * (s.polarity * value < s.polarity * s.threshold * (scale * scale) * std)
             vote_ = total / stage.total
             alive = vote_ >= stage.threshold
@@ -178,8 +210,22 @@ def leaf_sum(stage: LeafStage, ii: Column, width: int, norm: Column, ox: Column
     return out
 
 
+def base_sized(patches: DataFrame, width: int, height: int) -> DataFrame:
+    """patches (px, and h and w where sizes differ) of the base size; others are resized, in Python workers that
+    rows of the base size never enter."""
+    if not {"h", "w"} <= set(patches.columns):
+        return patches
+    fits = (F.col("h") == height) & (F.col("w") == width)
+    size = [F.lit(height), F.lit(width)]
+    other = patches.where(~fits).withColumn("px", resized("px", "h", "w", *size, F.lit("bicubic")))
+    out = patches.where(fits).unionByName(other.withColumn("px", F.col("px").cast(patches.schema["px"].dataType)))
+    return out.withColumn("h", size[0]).withColumn("w", size[1])
+
+
 def leaf_verdicts(patches: DataFrame, model: LeafCascade) -> DataFrame:
-    """patches with passed and score (sum of stage sum - threshold over the stages until the first miss)."""
+    """patches with passed and score (sum of stage sum - threshold over the stages until the first miss);
+    patches of another size (h, w) are resized first."""
+    patches = base_sized(patches, model.width, model.height)
     w, area = model.width, F.lit(float(model.width * model.height))
     last = F.element_at
     p = patches.withColumn("ii", integral_wide(F.col("px"), w)).withColumn("ii2", integral_wide(F.col("px"), w, 2))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stumpwright.functions.arithmetic import guarded, half_even
+from stumpwright.operators import ranking
 
 
-def confusion(verdicts: DataFrame, y: str = "y", passed: str = "passed", undefined: float | None = 0.0) -> DataFrame:
-    """One row: tp, tn, fp, fn and the rates; ``undefined`` stands for x/0 (None: NULL)."""
+def confusion(verdicts: DataFrame, y: str = "y", passed: str = "passed", undefined: float | None = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one per value of ``by``): tp, tn, fp, fn and the rates; ``undefined`` stands for x/0 (None: NULL)."""
     p, t = F.col(passed), F.col(y) == 1
-    c = verdicts.agg(
+    c = verdicts.groupBy(*by).agg(
         F.count_if(p & t).alias("tp"), F.count_if(~p & ~t).alias("tn"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn")
     )
     return rates(c, undefined)
@@ -46,6 +47,13 @@ def operating_point(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.agg(F.avg(F.when(F.col("y") == 0, hit)).alias("fpr"), F.avg(F.when(F.col("y") == 1, hit)).alias("recall"))
 
 
+def operating_points(long: DataFrame, thresholds: Column) -> DataFrame:
+    """stage, fpr, recall at the stages' thresholds over long scores: one pass for all stages."""
+    t = F.element_at(thresholds, (F.col("stage") + 1).cast("int"))
+    hit = F.when(F.col("score") >= t, 1.0).otherwise(0.0)
+    return long.groupBy("stage").agg(F.avg(F.when(F.col("y") == 0, hit)).alias("fpr"), F.avg(F.when(F.col("y") == 1, hit)).alias("recall"))
+
+
 def survival(long: DataFrame, thresholds: Column) -> DataFrame:
     """long scores with alive (all stages so far passed) and margin (sum over passed stages until the first miss)."""
     t = F.element_at(thresholds, (F.col("stage") + 1).cast("int"))
@@ -65,12 +73,15 @@ def diagnostics(long: DataFrame, thresholds: Column) -> DataFrame:
     alive = F.col("alive").cast("double")
     out = s.groupBy("stage").agg(
         F.first("threshold").alias("threshold"),
-        F.avg(F.when(pos, F.col("score"))).alias("pos_mean"), F.percentile(F.when(pos, F.col("score")), 0.01).alias("pos_p1"),
-        F.avg(F.when(neg, F.col("score"))).alias("neg_mean"), F.percentile(F.when(neg, F.col("score")), 0.99).alias("neg_p99"),
+        F.avg(F.when(pos, F.col("score"))).alias("pos_mean"), F.avg(F.when(neg, F.col("score"))).alias("neg_mean"),
         F.avg(F.when(pos, alive)).alias("pass_pos"), F.avg(F.when(neg, alive)).alias("pass_neg"),
         F.sum(F.when(neg, F.col("alive"))).alias("n_now"), F.sum(F.when(neg, F.col("before"))).alias("n_before"),
     )
-    return out.withColumn("rejected_here", 1.0 - F.col("n_now") / F.greatest(F.col("n_before"), F.lit(1))).drop("n_now", "n_before")
+    out = out.withColumn("rejected_here", 1.0 - F.col("n_now") / F.greatest(F.col("n_before"), F.lit(1))).drop("n_now", "n_before")
+    stages = [r.stage for r in long.select("stage").distinct().collect()]
+    tails = ranking.quantiles(long.where("y in (0, 1)"), "score", {(k, y): (q,) for k in stages for y, q in ((1, 0.01), (0, 0.99))}, "stage", "y")
+    rows = [(k, tails[k, 1][0], tails[k, 0][0]) for k in stages]
+    return out.join(F.broadcast(long.sparkSession.createDataFrame(rows, "stage int, pos_p1 double, neg_p99 double")), "stage")
 
 
 #: The percentile bands of the score report.
@@ -80,9 +91,8 @@ QUANTILES = (0.0, 0.05, 0.10, 0.20, 0.50, 0.80, 0.90, 0.95, 1.0)
 
 def quantiles(scores: DataFrame, column: str = "margin") -> DataFrame:
     """q, value: exact linear quantiles."""
-    got = scores.agg(F.percentile(column, F.array(*[F.lit(q) for q in QUANTILES])).alias("v"))
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    return got.select(F.explode(F.arrays_zip(qs.alias("q"), F.col("v").alias("value"))).alias("z")).select("z.q", "z.value")
+    got = ranking.quantiles(scores, column, {(): QUANTILES})[()]
+    return scores.sparkSession.createDataFrame(list(zip(QUANTILES, got)), "q double, value double")
 
 
 def band_samples(ranked: DataFrame, n: int, per_band: int, order: Column) -> DataFrame:

@@ -10,17 +10,29 @@ from pyspark.sql import functions as F
 from stumpwright.functions.arithmetic import chain, sample_order
 from stumpwright.operators.cascade import Cascade, accepted
 from stumpwright.operators.dataset import crop
+from stumpwright.storage import kept
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by the order's columns, where they are: the n-th row's values come from a top-k of
+    these columns alone, and then bound a filter. The order has to be total."""
+    last = rows.select(*order).orderBy(*order).limit(n).agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("m")).first()
+    if last.n < n:
+        return rows
+    kinds = [rows.schema[c].dataType for c in order]
+    return rows.where(F.struct(*order) <= F.struct(*[F.lit(last.m[c]).cast(k).alias(c) for c, k in zip(order, kinds)]))
 
 
 def mine(pool: DataFrame, model: Cascade, target: int, budget: int, seed: int = 0) -> DataFrame:
     """The first ``target`` accepted patches among the first ``budget`` of the pool in a hashed order.
 
-    Both cuts are distributed top-k's over (hash, patch_id); the cascade runs on the scanned part only.
+    The scanned part is a filter on (hash, patch_id), so the cascade runs on it where it lies; only
+    accepted patches take part in the last top-k.
     """
     if target <= 0 or budget <= 0:
         return pool.limit(0)
     h = "__order"
-    scanned = pool.withColumn(h, sample_order(F.col("patch_id"), seed)).orderBy(h, "patch_id").limit(budget)
+    scanned = first_rows(pool.withColumn(h, sample_order(F.col("patch_id"), seed)), budget, h, "patch_id")
     return accepted(scanned, model).orderBy(h, "patch_id").limit(target).drop(h)
 
 
@@ -38,7 +50,8 @@ def mine_stratified(pool: DataFrame, model: Cascade, target: int, budget: int, s
     def take(source: DataFrame, name: str, want: int, scan: int) -> None:
         nonlocal have
         if want > 0 and scan > 0:
-            part = mine(source, model, want, scan, seed).withColumn("pool", F.lit(name)).persist()
+            part = mine(source, model, want, scan, seed).withColumn("pool", F.lit(name))
+            part = kept(part)
             have += part.count()
             parts.append(part)
 
@@ -81,8 +94,8 @@ def mine_raw(images: DataFrame, model: Cascade, width: int, target: int, budget:
         order = ["pass", sample_order(F.col("image_id"), seed), "image_id", "k"]
         left = budget - first * per_pass
         if left < (stop - first) * per_pass:
-            crops = crops.orderBy(*order).limit(left)
-        part = accepted(crops.withColumn("patch_id", F.col("image_id")), model).orderBy(*order).limit(target - have).drop("patch_id").persist()
+            crops = first_rows(crops.withColumn("__order", order[1]), left, "pass", "__order", "image_id", "k").drop("__order")
+        part = kept(accepted(crops.withColumn("patch_id", F.col("image_id")), model).orderBy(*order).limit(target - have).drop("patch_id"))
         have += part.count()
         parts.append(part)
         first, size = stop, size * 2

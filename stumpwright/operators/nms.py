@@ -55,14 +55,16 @@ def components(boxes: DataFrame, **overlap) -> DataFrame:
     return boxes.join(linked, ["image_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def suppress(boxes: DataFrame, mode: str = "weighted", **overlap) -> DataFrame:
+def suppress(boxes: DataFrame, mode: str = "weighted", digits: int | None = None, **overlap) -> DataFrame:
     """One box per component: the score-weighted mean with truncated corners and the highest score
-    ('weighted'; plain mean where scores sum to 0 or less), or the best box ('greedy'; ties: least id)."""
+    ('weighted'; plain mean where scores sum to 0 or less), or the best box ('greedy'; ties: least id).
+    digits rounds means before they are truncated, so that the order of summation can't decide a corner."""
     c = components(boxes, **overlap)
     corners = ("x1", "y1", "x2", "y2")
     if mode == "weighted":
         total = F.sum("score")
-        mean = [F.when(total > 0, F.try_divide(F.sum(F.col("score") * F.col(x)), total)).otherwise(F.avg(x)).cast("int").alias(x) for x in corners]
+        rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+        mean = [rounded(F.when(total > 0, F.try_divide(F.sum(F.col("score") * F.col(x)), total)).otherwise(F.avg(x))).cast("int").alias(x) for x in corners]
         return c.groupBy("image_id", "root").agg(*mean, F.max("score").alias("score"), F.count("*").alias("n_boxes"))
     best = F.max(F.struct("score", (-F.col("id")).alias("neg"), *corners)).alias("m")
     g = c.groupBy("image_id", "root").agg(best, F.count("*").alias("n_boxes"))

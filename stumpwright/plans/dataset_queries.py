@@ -66,7 +66,7 @@ _SLOT = "(image_id * 1009 + pass * 31 + k)"
 
 
 @query(f"""WITH {D.IMAGE}, n AS (SELECT CAST(ceil(1000.0 / (count(*) * 3)) AS BIGINT) AS passes FROM img)
-SELECT image_id, CAST(pass AS INTEGER) AS pass, CAST(k AS INTEGER) AS k, CAST({D.order(_SLOT, 9)} % 13 AS INTEGER) AS ox, CAST({D.order(_SLOT, 10)} % 13 AS INTEGER) AS oy
+SELECT image_id, CAST(pass AS INTEGER) AS pass, CAST(k AS INTEGER) AS k, CAST({D.order(_SLOT, 9)} % 13 AS INTEGER) AS ox, CAST({D.order(_SLOT, 10)} % (h - 11) AS INTEGER) AS oy
 FROM img, n, unnest(range(0, passes)) AS a(pass), range(0, 3) AS b(k) ORDER BY pass, {D.order('image_id', 9)}, image_id, k LIMIT 1000""")
 def random_crops(spark: SparkSession, sf: str) -> DataFrame:
     """Crops of 12 x 12, three an image and pass, until there are 1000."""
@@ -74,13 +74,13 @@ def random_crops(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.random_crops(images_, "image_id", 12, 3, 1000, 9)
 
 
-@query(f"""WITH {D.IMAGE}, o AS (SELECT image_id, px, CAST(image_id % 31 - 6 AS INTEGER) AS x, CAST(image_id % 29 - 5 AS INTEGER) AS y FROM img),
-c AS (SELECT image_id, x, y, list_transform(range(0, 64), lambda k: px[23 * 24 * 0 + (23 - abs(23 - (((y + k // 8) % 46 + 46) % 46))) * 24 + (23 - abs(23 - (((x + k % 8) % 46 + 46) % 46))) + 1]) AS k FROM o)
+@query(f"""WITH {D.IMAGE}, o AS (SELECT image_id, px, h, CAST(image_id % 31 - 6 AS INTEGER) AS x, CAST(image_id % 29 - 5 AS INTEGER) AS y FROM img),
+c AS (SELECT image_id, x, y, list_transform(range(0, 64), lambda k: px[(h - 1 - abs(h - 1 - (((y + k // 8) % (2 * h - 2) + 2 * h - 2) % (2 * h - 2)))) * 24 + (23 - abs(23 - (((x + k % 8) % 46 + 46) % 46))) + 1]) AS k FROM o)
 SELECT image_id, x, y, k AS px FROM c""")
 def reflect_crop(spark: SparkSession, sf: str) -> DataFrame:
     """8 x 8 crops that may stick out of the image."""
-    i = X.text_images(spark, sf).select("image_id", "px", (F.col("image_id") % 31 - 6).cast("int").alias("x"), (F.col("image_id") % 29 - 5).cast("int").alias("y"))
-    return i.select("image_id", "x", "y", dataset.reflect_crop(F.col("px"), X.IMAGE_WIDTH, X.IMAGE_HEIGHT, F.col("x"), F.col("y"), 8).alias("px"))
+    i = X.text_images(spark, sf).select("image_id", "px", "h", (F.col("image_id") % 31 - 6).cast("int").alias("x"), (F.col("image_id") % 29 - 5).cast("int").alias("y"))
+    return i.select("image_id", "x", "y", dataset.reflect_crop(F.col("px"), X.IMAGE_WIDTH, F.col("h"), F.col("x"), F.col("y"), 8).alias("px"))
 
 
 @query(f"WITH {D.PATCH} SELECT coalesce(split, 'all') AS split, coalesce(source, 'all') AS source, coalesce(CAST(y AS VARCHAR), 'all') AS y, count(*) AS n FROM patch GROUP BY ROLLUP (patch.split, patch.source, patch.y)")
@@ -129,13 +129,10 @@ def mean_face_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {D.PATCH} SELECT source, split, count(DISTINCT patch_id) AS n, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std FROM px JOIN (SELECT patch_id, source, split FROM patch) USING (patch_id) GROUP BY source, split")
 def pixel_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Counts, pixel means and deviations by source and split, from per-patch sums."""
-    p = X.patches(spark, sf)
-    s = p.select("source", "split", F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("a"), F.aggregate("px", F.lit(0.0), lambda a, x: a + x * x).alias("b"), F.size("px").alias("k"))
-    mean = F.sum("a") / F.sum("k")
-    return s.groupBy("source", "split").agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.sum("b") / F.sum("k") - mean * mean), 6).alias("std"))
+    return dataset.pixel_stats(X.patches(spark, sf), "source", "split").select("source", "split", "n", *r6("mean", "std"))
 
 
-@query(f"WITH {D.IMAGE} SELECT image_id, count(*) AS n, sum(CAST(floor((299 * r + 587 * g + 114 * b) / 1000) AS BIGINT)) AS gray FROM (SELECT image_id, px[i * 3 + 1] AS r, px[i * 3 + 2] AS g, px[i * 3 + 3] AS b FROM img, range(0, 192) AS t(i)) GROUP BY image_id".replace("sum(CAST", "CAST(sum(CAST").replace("AS gray", "AS BIGINT) AS gray").replace("AS BIGINT)) AS BIGINT", "AS BIGINT)) AS BIGINT"))
+@query(f"WITH {D.IMAGE} SELECT image_id, count(*) AS n, sum(CAST(floor((299 * r + 587 * g + 114 * b) / 1000) AS BIGINT)) AS gray FROM (SELECT image_id, px[i * 3 + 1] AS r, px[i * 3 + 2] AS g, px[i * 3 + 3] AS b FROM img, unnest(range(0, h * 8)) AS t(i)) GROUP BY image_id".replace("sum(CAST", "CAST(sum(CAST").replace("AS gray", "AS BIGINT) AS gray").replace("AS BIGINT)) AS BIGINT", "AS BIGINT)) AS BIGINT"))
 def luma_gray(spark: SparkSession, sf: str) -> DataFrame:
     """Text images read as interleaved RGB and turned to gray."""
     g = X.text_images(spark, sf).select("image_id", images.gray(F.col("px")).alias("g"))
@@ -194,7 +191,7 @@ def ellipse_list(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.ellipses(folds).select("image", "gt_id", *r6("x1", "y2"))
 
 
-@query(f"WITH {D.LANDMARK} SELECT id || '.jpg' AS file, round(lex, 3) AS lex, round(ley, 3) AS ley, round(rmy, 3) AS rmy FROM lmk WHERE id % 4 = 0")
+@query(f"WITH {D.LANDMARK} SELECT id || '.jpg' AS file, round(lex, 3) AS lex, round(ley, 3) AS ley, round(rmy, 3) AS rmy FROM lmk")
 def landmark_list(spark: SparkSession, sf: str) -> DataFrame:
     """Landmark lists written as text, parsed again."""
     m = X.landmarks(spark, sf)
@@ -219,8 +216,7 @@ def distinct_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std FROM documents GROUP BY source, lang")
 def source_stats(spark: SparkSession, sf: str) -> DataFrame:
-    g = X.table(spark, sf, "documents").groupBy("source", "lang")
-    return g.agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 6).alias("std"))
+    return dataset.value_stats(X.table(spark, sf, "documents"), "n_chars", "source", "lang").select("source", "lang", "n", *r6("mean", "std"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'jpg' WHEN doc_id % 3 = 1 THEN 'png' ELSE 'bin' END AS ext FROM documents")

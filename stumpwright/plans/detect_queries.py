@@ -18,7 +18,7 @@ _IMAGE = (X.IMAGE_WIDTH, X.IMAGE_HEIGHT)
 _SCALES = """sca AS (
   WITH RECURSIVE g(level, scale) AS (SELECT 0, CAST(1.0 AS DOUBLE) UNION ALL SELECT level + 1, scale * 1.25 FROM g WHERE trunc(8 * scale * 1.25) <= {w})
   SELECT CAST(level AS INTEGER) AS level, scale, CAST(trunc(8 * scale) AS INTEGER) AS win_w, CAST(trunc(8 * scale) AS INTEGER) AS win_h, CAST(greatest(2, trunc(scale)) AS INTEGER) AS step FROM g)"""
-_WIN = "win AS (SELECT image_id, level, scale, win_w, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy FROM img, sca, unnest(range(0, 24 - win_w + 1, step)) AS a(ox), unnest(range(0, 24 - win_w + 1, step)) AS b(oy))"
+_WIN = "win AS (SELECT image_id, level, scale, win_w, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy FROM img, sca, unnest(range(0, 24 - win_w + 1, step)) AS a(ox), unnest(range(0, h - win_w + 1, step)) AS b(oy))"
 _STD = "sqrt(greatest({b} / (win_w * win_w) - ({a} / (win_w * win_w)) * ({a} / (win_w * win_w)), 0))"
 _WSTD = "greatest(" + _STD.format(a=D.rect("ii", "ox", "oy", "ox + win_w", "oy + win_w"), b=D.rect("ii2", "ox", "oy", "ox + win_w", "oy + win_w")) + ", 1.0)"
 
@@ -43,8 +43,7 @@ def window_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.IMAGE_II}, {_SCALES.format(w=24)}, {_WIN} SELECT image_id, level, ox, oy, round({_WSTD}, 6) AS std FROM win JOIN iil USING (image_id)")
 def window_std(spark: SparkSession, sf: str) -> DataFrame:
-    grid = detect.window_grid(detect.with_integrals(detect.spread(X.text_images(spark, sf)), X.IMAGE_WIDTH), detect.scales(spark, (8, 8), _IMAGE))
-    return detect.window_stds(grid, X.IMAGE_WIDTH).select("image_id", "level", "ox", "oy", *r6("std"))
+    return detect.window_stds_arrow(X.text_images(spark, sf), (8, 8)).select("image_id", "level", "ox", "oy", *r6("std"))
 
 
 def _vote_sql(stage: int) -> str:
@@ -68,19 +67,12 @@ v AS (SELECT image_id, ox, oy, win_w, {_vote_sql(0)} AS a, {_vote_sql(1)} AS b,
 SELECT image_id, ox AS x1, oy AS y1, ox + win_w AS x2, oy + win_w AS y2, round(a + b + c - {sum(_T)!r}, 6) AS score FROM v WHERE a >= {_T[0]} AND b >= {_T[1]} AND c >= {_T[2]}""")
 def detect_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The frozen cascade at every scale and place of the text images."""
-    return detect.detections(X.text_images(spark, sf), _model(spark), *_IMAGE).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
+    return detect.detections_arrow(X.text_images(spark, sf), _model(spark)).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
 
 
-@query(f"""WITH {D.IMAGE_II}, w AS (SELECT image_id, ii, ii2, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy FROM iil, range(0, 17, 2) AS a(ox), range(0, 17, 2) AS b(oy)),
-n AS (SELECT *, greatest(sqrt(greatest(64.0 * {D.rect("ii2", "ox", "oy", "ox + 8", "oy + 8")} - CAST({D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")} AS DOUBLE) * {D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")}, 0)), 1.0) AS nf,
-  CAST(2 * {D.rect("ii", "ox + 2", "oy", "ox + 6", "oy + 8")} - {D.rect("ii", "ox", "oy", "ox + 8", "oy + 8")} AS DOUBLE) AS f0,
-  CAST(2 * {D.rect("ii", "ox", "oy + 2", "ox + 8", "oy + 4")} - {D.rect("ii", "ox", "oy", "ox + 8", "oy + 4")} AS DOUBLE) AS f1,
-  CAST(9 * {D.rect("ii", "ox + 3", "oy + 3", "ox + 5", "oy + 5")} - {D.rect("ii", "ox + 1", "oy + 1", "ox + 7", "oy + 7")} AS DOUBLE) AS f2 FROM w),
-s AS (SELECT image_id, ox, oy, round(CAST(CASE WHEN f0 < -0.01 * nf THEN 0.6 ELSE -0.5 END + CASE WHEN f1 < 0.02 * nf THEN -0.4 ELSE 0.3 END + 0.4 AS DOUBLE), 9) AS a,
-  round(CAST(CASE WHEN f2 < 0.0 * nf THEN 0.5 ELSE -0.3 END + CASE WHEN f0 < 0.015 * nf THEN -0.1 ELSE 0.2 END + 0.2 AS DOUBLE), 9) AS b FROM n)
-SELECT image_id, CAST(ox AS DOUBLE) AS x1, CAST(oy AS DOUBLE) AS y1, CAST(ox + 8 AS DOUBLE) AS x2, CAST(oy + 8 AS DOUBLE) AS y2, round(a + b, 6) AS score FROM s WHERE a >= 0 AND b >= 0""")
+@query()
 def xml_cascade_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """The XML model on the text images at every level of the pyramid."""
+    """The XML model on the text images at every level of the pyramid; the resizing is not SQL."""
     return detect.leaf_detections(X.text_images(spark, sf), parse_cascade(XML)).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
 
 
@@ -96,7 +88,7 @@ def _nms_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return X.boxes(spark, sf).select("image_id", "id", "score", "x1", "y1", "x2", "y2")
 
 
-_PAIR = f"""{D.BOX}, nb AS (SELECT * FROM box WHERE id % 5 = 0),
+_PAIR = f"""{D.BOX}, nb AS (SELECT * FROM box),
 ov AS (SELECT a.image_id, a.id AS a, b.id AS b,
     greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0) AS i,
     (a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1) AS pa, (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) AS pb
@@ -121,10 +113,7 @@ def nms_components(spark: SparkSession, sf: str) -> DataFrame:
 round(max(score), 6) AS score, count(*) AS n_boxes FROM co GROUP BY image_id, root""")
 def nms_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Corners are rounded at nine digits before truncation only to compare engines."""
-    c = nms.components(_nms_boxes(spark, sf))
-    total = F.sum("score")
-    mean = [F.round(F.when(total > 0, F.try_divide(F.sum(F.col("score") * F.col(x)), total)).otherwise(F.avg(x)), 9).cast("int").alias(x) for x in ("x1", "y1", "x2", "y2")]
-    return c.groupBy("image_id", "root").agg(*mean, F.round(F.max("score"), 6).alias("score"), F.count("*").alias("n_boxes"))
+    return nms.suppress(_nms_boxes(spark, sf), digits=9).select("image_id", "root", "x1", "y1", "x2", "y2", *r6("score"), "n_boxes")
 
 
 @query(f"""{_COMP} SELECT image_id, root, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2, round(score, 6) AS score, count(*) OVER (PARTITION BY image_id, root) AS n_boxes

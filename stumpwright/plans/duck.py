@@ -81,16 +81,18 @@ lmk AS (
   FROM box)"""
 
 IMAGE = """img AS (
-  SELECT doc_id AS image_id, list_transform(range(1, 577), lambda i: ascii(substring(text, i, 1)) % 256) AS px
-  FROM documents WHERE length(text) >= 576)"""
+  SELECT image_id, h, list_concat(list_transform(string_split(t, ''), lambda c: ascii(c) % 256), list_transform(range(length(t), h * 24), lambda i: 0)) AS px
+  FROM (SELECT *, greatest(24, CAST(ceil(length(t) / 24.0) AS INTEGER)) AS h
+        FROM (SELECT doc_id * 1000000 + k AS image_id, substring(text, CAST(k * 2304 + 1 AS BIGINT), 2304) AS t
+              FROM documents, unnest(range(0, CAST(ceil(length(text) / 2304.0) AS BIGINT))) AS g(k))))"""
 
 IMAGE_II = f"""{IMAGE},
-ipx AS (SELECT image_id, (i - 1) // 24 AS r, (i - 1) % 24 AS c, CAST(px[i] AS BIGINT) AS p FROM img, range(1, 577) AS g(i)),
+ipx AS (SELECT image_id, (i - 1) // 24 AS r, (i - 1) % 24 AS c, CAST(px[i] AS BIGINT) AS p FROM img, unnest(range(1, h * 24 + 1)) AS g(i)),
 irow AS (SELECT image_id, r, c, sum(p) OVER w AS a, sum(p * p) OVER w AS b FROM ipx WINDOW w AS (PARTITION BY image_id, r ORDER BY c)),
 icell AS (
   SELECT image_id, r + 1 AS r, c + 1 AS c, CAST(sum(a) OVER w AS BIGINT) AS a, CAST(sum(b) OVER w AS BIGINT) AS b FROM irow WINDOW w AS (PARTITION BY image_id, c ORDER BY r)
   UNION ALL SELECT image_id, 0, c, 0, 0 FROM img, range(0, 25) AS g(c)
-  UNION ALL SELECT image_id, r, 0, 0, 0 FROM img, range(1, 25) AS g(r)),
+  UNION ALL SELECT image_id, r, 0, 0, 0 FROM img, unnest(range(1, h + 1)) AS g(r)),
 iil AS (SELECT image_id, list(a ORDER BY r, c) AS ii, list(b ORDER BY r, c) AS ii2 FROM icell GROUP BY image_id)"""
 
 

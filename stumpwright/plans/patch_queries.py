@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stumpwright import fixtures as X
 from stumpwright.functions.arithmetic import sample_order
 from stumpwright.functions.integral import integral_long, integral_wide, region_sum
-from stumpwright.operators import cascade, detect, haar, metrics, mining, stump, tuning
+from stumpwright.operators import cascade, detect, haar, metrics, mining, ranking, stump, tuning
 from stumpwright.plans import duck as D
 from stumpwright.plans.registry import query
 from stumpwright.sources.xml_cascade import parse_cascade
@@ -162,7 +162,9 @@ def boost_round_1(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_VALS}, {_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)}\n" + " UNION ALL ".join(f"SELECT round, feature_id, CAST(threshold AS DOUBLE) AS threshold, polarity, round(ln(1 / beta), 6) AS alpha, round(err, 6) AS err FROM b{i}" for i in range(3)))
 def boost_round_3(spark: SparkSession, sf: str) -> DataFrame:
     """The stumps of three rounds."""
-    found, _ = stump.boost(_values(spark, sf).persist(), 3)
+    values = _values(spark, sf).persist()
+    found, _ = stump.boost(values, 3)
+    values.unpersist()
     rows = [(i + 1, s.feature_id, float(s.threshold), s.polarity, s.alpha, s.error) for i, s in enumerate(found)]
     return spark.createDataFrame(rows, "round int, feature_id int, threshold double, polarity int, alpha double, err double").select("round", "feature_id", "threshold", "polarity", *r6("alpha", "err"))
 
@@ -197,11 +199,7 @@ def confusion_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def confusion_guarded(spark: SparkSession, sf: str) -> DataFrame:
     """A detector that accepts nothing: rates over zero are 0."""
     rejected = _verdicts(spark, sf).withColumn("passed", F.lit(False))
-    out = None
-    for s in ("src0", "src1", "src2"):
-        one = metrics.confusion(rejected.where(F.col("source") == s)).select(F.lit(s).alias("source"), "tp", "tn", "fp", "fn", *r6("accuracy", "precision", "recall", "specificity", "f1"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.confusion(rejected, by=("source",)).select("source", "tp", "tn", "fp", "fn", *r6("accuracy", "precision", "recall", "specificity", "f1"))
 
 
 _FLOOR = min(s[10] for s in X.STUMPS if s[0] == 0) / sum(s[10] for s in X.STUMPS if s[0] == 0)
@@ -219,12 +217,8 @@ def calibrated_threshold(spark: SparkSession, sf: str) -> DataFrame:
   round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (y = 1), 6) AS recall FROM sc GROUP BY stage""")
 def operating_point(spark: SparkSession, sf: str) -> DataFrame:
     s, m = _scored(spark, sf)
-    out = None
-    for k, stage in enumerate(m.stages):
-        own = s.select("y", F.element_at("scores", k + 1).alias("score"))
-        one = metrics.operating_point(own, stage.threshold).select(F.lit(k).alias("stage"), *r6("fpr", "recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = metrics.operating_points(cascade.long_scores(s), cascade.thresholds(m))
+    return out.select("stage", *r6("fpr", "recall"))
 
 
 @query(f"WITH {D.SCORES} SELECT split, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS n FROM ver WHERE y = 1 GROUP BY split")
@@ -264,10 +258,9 @@ b(band, lo, hi) AS (VALUES {D.rows((i, *b) for i, b in enumerate(metrics.BANDS))
 SELECT band, patch_id, rank FROM rk JOIN b ON rank >= round_even(lo * n, 0) AND rank < round_even(hi * n, 0)
 QUALIFY row_number() OVER (PARTITION BY band ORDER BY {D.order("patch_id", 3)}, patch_id) <= {PER_BAND}""")
 def score_bands(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     v = _verdicts(spark, sf).where("y = 1").select("patch_id", F.round("margin", 9).alias("margin"))
-    ranked = v.withColumn("rank", (F.row_number().over(Window.orderBy("margin", "patch_id")) - 1).cast("bigint"))
+    order = (F.col("margin"), F.col("patch_id"))
+    ranked = ranking.ranked(ranking.dealt(v, *order), *order).withColumn("rank", (F.col("rk") - 1).cast("bigint"))
     return metrics.band_samples(ranked, v.count(), PER_BAND, sample_order(F.col("patch_id"), 3)).select("band", "patch_id", "rank")
 
 

@@ -80,6 +80,6 @@ def prepare(faces: DataFrame, pool: DataFrame, plan: Plan, side: int) -> DataFra
 
 
 def save(bundle: DataFrame, path: str, side: int) -> DataFrame:
-    """Write the bundle by split and return its manifest."""
-    bundles.write(bundle, path)
+    """Write the bundle by split, over an older one as a whole, and return its manifest."""
+    bundles.write_whole(bundle, path)
     return bundles.manifest(bundles.read(bundle.sparkSession, path), side)

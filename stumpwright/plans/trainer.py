@@ -54,6 +54,7 @@ class StageLog:
     fpr: float = 1.0
     recall: float = 0.0
     capped: bool = False
+    cumulative: float = 0.0  # recall of the cascade up to the stage, on the validation samples
 
 
 def best_of_rows(values: np.ndarray, order: np.ndarray, pos: np.ndarray, neg: np.ndarray, tie_exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +81,27 @@ def best_of_rows(values: np.ndarray, order: np.ndarray, pos: np.ndarray, neg: np
     return err[r, at], v[r, at], np.where(below[r, at] < above[r, at], 1, -1)
 
 
+#: Bytes of a stage's samples, as integral images, that the driver takes and broadcasts at most.
+SAMPLE_BYTES = 1 << 30
+
+
+def _small(n: int, width: int, height: int) -> int:
+    """n, where so many samples of a window pass through the driver; more are refused."""
+    if n * (width + 1) * (height + 1) * 8 > SAMPLE_BYTES:
+        raise ValueError(f"{n} samples of {width} x {height} are over {SAMPLE_BYTES} bytes: sample the positives, or ask for fewer negatives")
+    return n
+
+
 _FEATURE_ROW = "feature_id int, kind string, x int, y int, w int, h int, vals binary, ord binary"
 
 
 def feature_rows(spark: SparkSession, samples: DataFrame, width: int, height: int, opts: Options) -> tuple[DataFrame, np.ndarray]:
     """Feature-major rows of normalised values, with each row's sort order, in the shared folder; and the labels.
 
-    Samples of one stage (thousands of small patches) go to every task; features are dealt out.
+    Samples of one stage (thousands of small patches, SAMPLE_BYTES at most or an error) go to every task;
+    features are dealt out.
     """
+    _small(samples.count(), width, height)
     rows = samples.select("patch_id", "y", integral_arrow(F.col("px"), F.lit(width)).alias("ii"), sample_std(F.col("px")).alias("std")).orderBy("patch_id").collect()
     ii = np.array([r.ii for r in rows], np.int64).reshape(len(rows), -1)
     std, y = np.array([r["std"] for r in rows]), np.array([r.y for r in rows])
@@ -208,6 +222,21 @@ def _votes(patches: list[tuple[np.ndarray, float]]):
     return of
 
 
+def _held(patches: DataFrame, width: int, height: int) -> list[tuple[np.ndarray, float]]:
+    """Validation samples on the driver; the same bound as for a stage's samples."""
+    _small(patches.count(), width, height)
+    rows = patches.select(integral_arrow(F.col("px"), F.lit(width)).alias("ii"), sample_std(F.col("px")).alias("std")).toLocalIterator()
+    return [(np.array(r.ii), r["std"]) for r in rows]
+
+
+def _passing(stages: list[Stage], votes, n: int) -> float:
+    """The part of the held samples that pass all stages."""
+    passed = np.ones(n, bool)
+    for s in stages:
+        passed &= votes(list(s.stumps)) >= s.threshold
+    return float(passed.mean()) if n else 0.0
+
+
 def train(spark: SparkSession, positives: DataFrame, pool: DataFrame, path: str, width: int, height: int, opts: Options = Options(), validation: DataFrame | None = None, seed_pool: DataFrame | None = None, reserve: DataFrame | None = None, resume: Cascade | None = None) -> tuple[Cascade, list[StageLog]]:
     """Stages until a stop rule: no or too few negatives, a stage at its stump cap above the target
     rate, recall of the cascade below the floor, or max_stages. The stage that trips a rule is kept.
@@ -219,8 +248,7 @@ def train(spark: SparkSession, positives: DataFrame, pool: DataFrame, path: str,
         raise ValueError("the model to resume has another window")
     logs: list[StageLog] = []
     pos = positives.select("patch_id", "px", F.lit(1).alias("y"))
-    val = validation if validation is not None else positives
-    held = [(np.array(r.ii), r["std"]) for r in val.select(integral_arrow(F.col("px"), F.lit(width)).alias("ii"), sample_std(F.col("px")).alias("std")).toLocalIterator()]
+    held = _held(validation if validation is not None else positives, width, height)
     votes = _votes(held)
     while len(stages) < opts.max_stages:
         k = len(stages)
@@ -241,30 +269,38 @@ def train(spark: SparkSession, positives: DataFrame, pool: DataFrame, path: str,
         stages.append(stage)
         models.save_stage(spark, path, k, stage, width, height)
         capped = opts.target_stage_fpr > 0 and len(stumps) >= opts.max_stumps and fpr > opts.target_stage_fpr
-        logs.append(StageLog(k, stumps, threshold, fpr, recall, capped))
-        passed = np.ones(len(held), bool)
-        for s in stages:
-            passed &= votes(list(s.stumps)) >= s.threshold
-        if capped or passed.mean() < opts.min_cascade_recall:
+        logs.append(StageLog(k, stumps, threshold, fpr, recall, capped, _passing(stages, votes, len(held))))
+        if capped or logs[-1].cumulative < opts.min_cascade_recall:
             break
     if not stages:
         raise ValueError("no negatives to train a first stage with")
     return Cascade(stages, width, height), logs
 
 
-def extend_last(spark: SparkSession, model: Cascade, positives: DataFrame, pool: DataFrame, path: str, max_stumps: int, opts: Options = Options()) -> Cascade:
+def extend_last(
+    spark: SparkSession, model: Cascade, positives: DataFrame, pool: DataFrame, path: str, max_stumps: int, opts: Options = Options(),
+    validation: DataFrame | None = None, seed_pool: DataFrame | None = None, reserve: DataFrame | None = None, logs: list[StageLog] | None = None,
+) -> Cascade:
     """The last stage again with more stumps: negatives mined by the stages before it, its stumps
-    replayed with their stored weights, then new rounds up to the cap, and a new threshold."""
+    replayed with their stored weights, then new rounds up to the cap, and a new threshold.
+
+    Threshold and stop rule go by the validation samples (the positives where none are given), as does the
+    cumulative recall, which a row in ``logs`` reports."""
     k = len(model.stages) - 1
     before, last = model.stages[:k], model.stages[k]
     if k:
-        neg = mine_stratified(pool, Cascade(before, model.width, model.height), opts.target_negatives, opts.mining_budget, seed=opts.seed + k)
+        neg = mine_stratified(pool, Cascade(before, model.width, model.height), opts.target_negatives, opts.mining_budget, seed_pool, reserve, opts.seed + k)
     else:
-        neg = dataset.sample(pool, opts.target_negatives, "patch_id", opts.seed)
+        neg = dataset.sample(seed_pool if seed_pool is not None else pool, opts.target_negatives, "patch_id", opts.seed)
     both = positives.select("patch_id", "px", F.lit(1).alias("y")).unionByName(neg.select("patch_id", "px", F.lit(0).alias("y")))
+    held = _held(validation if validation is not None else positives, model.width, model.height)
+    votes = _votes(held)
     features, y = feature_rows(spark, both, model.width, model.height, opts)
     more = Options(**{**opts.__dict__, "max_stumps": max_stumps, "min_stumps": len(last.stumps) + 1})
-    stumps, threshold, _, _ = boost_stage(features, y, more, replay=last.stumps)
+    stumps, threshold, fpr, recall = boost_stage(features, y, more, replay=last.stumps, val_votes=votes)
+    features.unpersist()
     stage = Stage(threshold, tuple(stumps))
     models.save_stage(spark, path, k, stage, model.width, model.height)
+    if logs is not None:
+        logs.append(StageLog(k, stumps, threshold, fpr, recall, len(stumps) >= max_stumps, _passing([*before, stage], votes, len(held))))
     return Cascade([*before, stage], model.width, model.height)

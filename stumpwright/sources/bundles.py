@@ -16,6 +16,20 @@ def write(patches: DataFrame, path: str) -> None:
     patches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("split").parquet(path)
 
 
+def write_whole(patches: DataFrame, path: str) -> None:
+    """A new bundle at path: the splits that patches hold, and none that an older bundle left there."""
+    spark = patches.sparkSession
+    write(patches, path)
+    have = {r.split for r in patches.select("split").distinct().collect()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if s.isDirectory() and name.startswith("split=") and name.removeprefix("split=") not in have:
+            fs.delete(s.getPath(), True)
+
+
 def read(spark: SparkSession, path: str, split: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
     """The bundle, or one split of it (partition pruning). Missing required splits are an error."""
     df = spark.read.parquet(path)

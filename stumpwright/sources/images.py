@@ -42,9 +42,9 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return kept.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"), "length", "content")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """path, h, w, px (gray) of images that the JVM can decode."""
-    i = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    i = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower()).load(path).select("image.*")
     count = F.col("width") * F.col("height")
     byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), k, F.lit(1))), 16, 10).cast("int")
     values = F.transform(F.sequence(F.lit(1), count * F.col("nChannels")), byte)
@@ -96,6 +96,22 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark.read.format("binaryFile").load(path), lambda raw: np.load(io.BytesIO(raw), allow_pickle=False))
 
 
+def find_root(spark: SparkSession, root: str, marker: str, first: tuple[str, ...] = ()) -> str:
+    """The folder that directly holds a folder named marker: one of ``first`` below root, root itself, or the
+    nearest below it. Only folder names are listed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+    level = [*(f"{root.rstrip('/')}/{f}" for f in first), root]
+    while level:
+        for folder in level:
+            h = path(folder, marker)
+            if fs.exists(h) and fs.getFileStatus(h).isDirectory():
+                return folder
+        level = [s.getPath().toString() for f in level if fs.exists(path(f)) for s in fs.listStatus(path(f)) if s.isDirectory()]
+    raise FileNotFoundError(f"no folder {marker} below {root}")
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first path that exists on its file system."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

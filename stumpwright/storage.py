@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return f"{(base or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/stumpwright-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read back: its rows are computed once and outlive executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

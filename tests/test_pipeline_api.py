@@ -86,12 +86,15 @@ def test_tables_and_kept_results(spark, tmp_path):
 
 
 def test_detectors_agree(spark, sf):
-    im, m = X.text_images(spark, sf), _model(spark)
+    im, m = X.text_images(spark, sf).orderBy("image_id").limit(6), _model(spark)
     key = lambda d: {(r.image_id, r.x1, r.y1, r.x2, r.y2): round(r.score, 9) for r in d.collect()}
     assert key(detect.detections_arrow(im, m, min_score=0.2)) == key(detect.detections(im, m, 24, 24, min_score=0.2))
     assert detect.detections_arrow(im.limit(0), m).count() == 0
     found = detect.leaf_detections(im, parse_cascade(XML), step=4).collect()
     assert found and all(0 <= r.x1 < r.x2 <= 24.0001 for r in found)
+    std = lambda d: {(r.image_id, r.level, r.ox, r.oy): round(r["std"], 9) for r in d.collect()}
+    grid = detect.window_grid(detect.with_integrals(im, 24), detect.scales(spark, (8, 8), (24, 24)))
+    assert std(detect.window_stds_arrow(im, (8, 8))) == std(detect.window_stds(grid, 24))
 
 
 def test_raw_mining_counts(spark, sf):
