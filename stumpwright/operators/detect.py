@@ -96,36 +96,55 @@ def detections_arrow(images: DataFrame, model: Cascade, min_score: float | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, h, w, px in zip(*(batch.column(c) for c in range(4))):
-                found = _image_windows(px.values.to_numpy(zero_copy_only=False), h.as_py(), w.as_py(), model, pyramid_options)
+            for rows, px, h, w in _stacks(batch):
+                row, *found = _stack_windows(px, len(rows), h, w, model, pyramid_options)
                 if min_score is not None:
-                    found = [x[found[4] >= min_score] for x in found]
-                ids = pa.array([image.as_py()] * len(found[0]), batch.schema.field(0).type)
+                    row, *found = (x[found[4] >= min_score] for x in (row, *found))
+                ids = batch.column(0).take(pa.array(rows[row]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in found[:4]), pa.array(found[4])], ["image_id", "x1", "y1", "x2", "y2", "score"])
 
     return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, score double")
 
 
+#: Pixels of the images of one size that are worked on at once; a larger image is worked on alone.
+STACK_PIXELS = 1 << 18
+
+
+def _stacks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(rows, pixels, h, w) of a batch's images (image_id, h, w, px), those of equal size together."""
+    h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+    for height, width in sorted(set(zip(h.tolist(), w.tolist()))):
+        rows = np.flatnonzero((h == height) & (w == width))
+        size = max(1, STACK_PIXELS // max(1, height * width))
+        for k in range(0, len(rows), size):
+            own = rows[k : k + size]
+            yield own, batch.column(3).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False), height, width
+
+
 class _Integrals:
-    """The two integral images of an image, and sums over arrays of rectangles."""
+    """The two integral images of each of n images of a size, and sums over arrays of rectangles."""
 
-    def __init__(self, px: np.ndarray, h: int, w: int):
-        a = px.astype(np.int64).reshape(h, w)
-        self.row = w + 1
-        self.plain, self.squared = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel() for x in (a, a * a))
+    def __init__(self, px: np.ndarray, n: int, h: int, w: int):
+        a = px.astype(np.int64).reshape(n, h, w)
+        self.row, self.image = w + 1, (h + 1) * (w + 1)
+        self.plain, self.squared = (np.pad(x.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0))).ravel() for x in (a, a * a))
 
-    def sums(self, t: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
-        return t[y2 * self.row + x2] - t[y1 * self.row + x2] - t[y2 * self.row + x1] + t[y1 * self.row + x1]
+    def sums(self, t: np.ndarray, at: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        """Sums of t in the rectangles; ``at`` is where their images begin, a multiple of ``image``."""
+        top, low = at + y1 * self.row, at + y2 * self.row
+        return t[low + x2] - t[top + x2] - t[low + x1] + t[top + x1]
 
-    def std(self, x: np.ndarray, y: np.ndarray, w: int, h: int) -> np.ndarray:
-        area, box = float(w * h), (x, y, x + w, y + h)
+    def std(self, at: np.ndarray, x: np.ndarray, y: np.ndarray, w: int, h: int) -> np.ndarray:
+        area, box = float(w * h), (at, x, y, x + w, y + h)
         mean = self.sums(self.plain, *box) / area
         return np.maximum(np.sqrt(np.maximum(self.sums(self.squared, *box) / area - mean * mean, 0.0)), 1.0)
 
 
-def _origins(h: int, w: int, win_h: int, win_w: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    y, x = (g.ravel() for g in np.meshgrid(np.arange(0, h - win_h + 1, step), np.arange(0, w - win_w + 1, step), indexing="ij"))
-    return x, y
+def _origins(n: int, h: int, w: int, win_h: int, win_w: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Image, x and y of the windows of a size in n images."""
+    grid = np.meshgrid(np.arange(n), np.arange(0, h - win_h + 1, step), np.arange(0, w - win_w + 1, step), indexing="ij")
+    image, y, x = (g.ravel() for g in grid)
+    return image, x, y
 
 
 def window_stds_arrow(images: DataFrame, base: tuple[int, int], **pyramid_options) -> DataFrame:
@@ -134,37 +153,37 @@ def window_stds_arrow(images: DataFrame, base: tuple[int, int], **pyramid_option
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, h, w, px in zip(*(batch.column(c) for c in range(4))):
-                h, w = h.as_py(), w.as_py()
-                ii = _Integrals(px.values.to_numpy(zero_copy_only=False), h, w)
+            for rows, px, h, w in _stacks(batch):
+                ii = _Integrals(px, len(rows), h, w)
                 for level, _, win_w, win_h, step in pyramid(base, (w, h), **pyramid_options):
-                    x, y = _origins(h, w, win_h, win_w, step)
-                    cols = [pa.array([image.as_py()] * len(x), batch.schema.field(0).type), *(pa.array(v.astype(np.int32)) for v in (np.full(len(x), level), x, y)), pa.array(ii.std(x, y, win_w, win_h))]
+                    row, x, y = _origins(len(rows), h, w, win_h, win_w, step)
+                    std = ii.std(row * ii.image, x, y, win_w, win_h)
+                    cols = [batch.column(0).take(pa.array(rows[row])), *(pa.array(v.astype(np.int32)) for v in (np.full(len(x), level), x, y)), pa.array(std)]
                     yield pa.RecordBatch.from_arrays(cols, ["image_id", "level", "ox", "oy", "std"])
 
     return spread(images).select("image_id", "h", "w", "px").mapInArrow(run, f"image_id {kind}, level int, ox int, oy int, std double")
 
 
-def _image_windows(px: np.ndarray, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
-    """x1, y1, x2, y2, score of the windows of one image that pass every stage."""
-    ii = _Integrals(px, h, w)
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
+def _stack_windows(px: np.ndarray, n: int, h: int, w: int, model: Cascade, options: dict) -> list[np.ndarray]:
+    """Image, x1, y1, x2, y2, score of the windows of n images of a size that pass every stage."""
+    ii = _Integrals(px, n, h, w)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 5 + [np.zeros(0)]]
     for _, scale, win_w, win_h, step in pyramid((model.width, model.height), (w, h), **options):
-        x, y = _origins(h, w, win_h, win_w, step)
-        std, margin = ii.std(x, y, win_w, win_h), np.zeros(len(x))
+        image, x, y = _origins(n, h, w, win_h, win_w, step)
+        std, margin = ii.std(image * ii.image, x, y, win_w, win_h), np.zeros(len(x))
         for stage in model.stages:
-            total = np.zeros(len(x))
+            total, at = np.zeros(len(x)), image * ii.image
             for s in stage.stumps:
                 value = 0
                 for dx, dy, sign in signed_cells(s.kind):
                     left, top = s.x + dx * s.w, s.y + dy * s.h
-                    value = value + sign * ii.sums(ii.plain, x + int(left * scale), y + int(top * scale), x + int((left + s.w) * scale), y + int((top + s.h) * scale))
+                    value = value + sign * ii.sums(ii.plain, at, x + int(left * scale), y + int(top * scale), x + int((left + s.w) * scale), y + int((top + s.h) * scale))
                 total += s.alpha * (s.polarity * value < s.polarity * s.threshold * (scale * scale) * std)
             vote_ = total / stage.total
             alive = vote_ >= stage.threshold
             margin = (margin + vote_ - stage.threshold)[alive]
-            x, y, std = x[alive], y[alive], std[alive]
-        out.append([x, y, x + win_w, y + win_h, margin])
+            image, x, y, std = image[alive], x[alive], y[alive], std[alive]
+        out.append([image, x, y, x + win_w, y + win_h, margin])
     return [np.concatenate(c) for c in zip(*out)]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stumpwright.functions.arithmetic import guarded, half_even
 from stumpwright.operators import ranking
+from stumpwright.storage import kept
 
 
 def confusion(verdicts: DataFrame, y: str = "y", passed: str = "passed", undefined: float | None = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -65,7 +66,10 @@ def survival(long: DataFrame, thresholds: Column) -> DataFrame:
 
 
 def diagnostics(long: DataFrame, thresholds: Column) -> DataFrame:
-    """Per stage: mean and outer percentiles by class, cumulative pass rates, negatives newly rejected."""
+    """Per stage: mean and outer percentiles by class, cumulative pass rates, negatives newly rejected.
+
+    The scores are read several times and so written first."""
+    long = kept(long)
     s = survival(long, thresholds)
     before = F.coalesce(F.lag("alive").over(Window.partitionBy("patch_id").orderBy("stage")), F.lit(1))
     s = s.withColumn("before", before)

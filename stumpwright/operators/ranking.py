@@ -17,8 +17,10 @@ PART = "__part"
 
 
 def dealt(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows by ranges of the order, with the range's number in PART; a table in the shared folder."""
-    return kept(rows.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+    """rows by ranges of the order, with the range's number in PART; a table in the shared folder.
+
+    The ranges' bounds come from a pass of their own, so rows are written first and computed once."""
+    return kept(kept(rows).repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
 
 
 def ranked(parts: DataFrame, *order: Column, sums: tuple[str, ...] = ()) -> DataFrame:

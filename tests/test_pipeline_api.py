@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,28 @@ def test_detectors_agree(spark, sf):
     assert std(detect.window_stds_arrow(im, (8, 8))) == std(detect.window_stds(grid, 24))
 
 
+def test_images_of_a_size_are_worked_on_together(spark, sf, monkeypatch):
+    m, rng = _model(spark), np.random.default_rng(5)
+    sizes = [(24, 24), (30, 24), (24, 24), (9, 24), (7, 24), (40, 31)] * 4
+    px = [rng.integers(0, 256, h * w) for h, w in sizes]
+    batch = pa.RecordBatch.from_pydict({"image_id": list(range(len(px))), "h": [h for h, _ in sizes], "w": [w for _, w in sizes], "px": [p.tolist() for p in px]})
+    rows = lambda image, found: {(image[k], *(int(c[k]) for c in found[:4]), float(found[4][k])) for k in range(len(found[4]))}
+    alone = set()
+    for i, (p, (h, w)) in enumerate(zip(px, sizes)):
+        row, *found = detect._stack_windows(p, 1, h, w, m, {})
+        assert not row.any()
+        alone |= rows([i] * len(row), found)
+    for pixels in (1, 1500, 1 << 18):
+        monkeypatch.setattr(detect, "STACK_PIXELS", pixels)
+        together, seen = set(), []
+        for own, p, h, w in detect._stacks(batch):
+            assert len(own) == 1 or len(own) * h * w <= pixels
+            row, *found = detect._stack_windows(p, len(own), h, w, m, {})
+            seen += own.tolist()
+            together |= rows(own[row].tolist(), found)
+        assert sorted(seen) == list(range(len(px))) and together == alone and alone
+
+
 def test_raw_mining_counts(spark, sf):
     im, m = X.text_images(spark, sf), _model(spark)
     few = mining.mine_raw(im, m, 24, 10, 10_000, 2, 1).collect()
