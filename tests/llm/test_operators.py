@@ -417,6 +417,34 @@ def test_substring_against_brute_force(spark, sf):
             assert got[k][0] == "".join(raw for i, (raw, _) in enumerate(p) if i not in drop[k]).strip()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_against_all_runs(spark, seed):
+    """Every run of any length of 2 sentences and 28 words or more that begins elsewhere earlier, by plain comparison."""
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 15))] for _ in range(60)]
+    docs = []
+    for _ in range(40):
+        picks = [rng.randrange(60) for _ in range(rng.randrange(0, 9))]
+        for _ in range(rng.randrange(0, 3)):
+            start = rng.randrange(0, 45)
+            at = rng.randrange(len(picks) + 1)
+            picks[at:at] = range(start, start + rng.randrange(2, 12))
+        docs.append(picks)
+    spell = lambda words: rng.choice([str.lower, str.upper])(rng.choice([" ", ", "]).join(words)) + rng.choice(".!?") + rng.choice([" ", "\n", "  "])
+    raw = [[spell(pool[i]) for i in picks] for picks in docs]
+    first, gone = {}, [set() for _ in docs]
+    for k, picks in enumerate(docs):
+        for a in range(len(picks)):
+            for b in range(a + 1, len(picks)):
+                if sum(len(pool[i]) for i in picks[a : b + 1]) >= 28 and first.setdefault(tuple(picks[a : b + 1]), (k, a)) != (k, a):
+                    gone[k] |= set(range(a, b + 1))
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.dedup(spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(raw)], "doc_id long, text string")).collect()}
+    assert sum(map(bool, gone)) > 5 and not all(gone)
+    for k, t in enumerate(raw):
+        kept = "".join(x for i, x in enumerate(t) if i not in gone[k])
+        assert got[k] == (kept.strip() if gone[k] else kept, len(gone[k]))
+
+
 _CHAT = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.text("<|im_end>\\sp\n", max_size=12)), min_size=1, max_size=6)
 
 
