@@ -1,5 +1,6 @@
 """Bundles to model to report through the commands; resizing, warping, files, kept results, raw mining."""
 
+import os
 import struct
 import zlib
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stumpwright import cli
+from stumpwright import cli, storage
 from stumpwright import fixtures as X
 from stumpwright.functions import resample
 from stumpwright.operators import detect, mining
@@ -86,6 +87,14 @@ def test_tables_and_kept_results(spark, tmp_path):
     assert len(made) == 3
 
 
+def test_intermediate_tables_are_swept(spark):
+    df = storage.kept(spark.range(10))
+    folder = storage._folders[-1]
+    assert df.count() == 10 and os.path.isdir(folder)
+    storage.sweep(spark)
+    assert not os.path.exists(folder) and not storage._folders
+
+
 def test_detectors_agree(spark, sf):
     im, m = X.text_images(spark, sf).orderBy("image_id").limit(6), _model(spark)
     key = lambda d: {(r.image_id, r.x1, r.y1, r.x2, r.y2): round(r.score, 9) for r in d.collect()}
