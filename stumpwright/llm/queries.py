@@ -80,6 +80,25 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE {_WORDS} END AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + least(5, len(w)) - 1], ' ') AS gram
+  FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS u(s) WHERE len(w) > 0),
+t AS (SELECT doc_id, count(*) AS n, sha256(string_agg(gram, '|' ORDER BY gram)) AS same FROM g GROUP BY doc_id),
+c AS (SELECT same, min(doc_id) AS rep, count(*) AS copies, min(n) AS n FROM t GROUP BY same),
+q AS (SELECT rep, n, gram FROM c JOIN g ON g.doc_id = c.rep),
+p AS (
+  SELECT a.rep AS x, b.rep AS y FROM q a JOIN q b ON a.gram = b.gram AND a.rep < b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY ALL HAVING 9 * count(*) >= 4 * (min(a.n) + min(b.n))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT rep AS x, rep AS root FROM c UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
+k AS (SELECT x AS rep, min(root) AS class_id FROM r GROUP BY x),
+z AS (SELECT class_id, sum(copies) AS class_size FROM k JOIN c USING (rep) GROUP BY class_id),
+l AS (SELECT e.x AS rep, sum(copies) AS links FROM e JOIN c ON c.rep = e.y GROUP BY e.x)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links,
+       CAST(coalesce(class_size, 1) AS BIGINT) AS class_size
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (same) LEFT JOIN k USING (rep) LEFT JOIN z USING (class_id) LEFT JOIN l USING (rep)""",
     "op4_decontaminate": f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 iw AS (
