@@ -12,7 +12,8 @@ from stumpwright.plans import duck as D
 from stumpwright.plans import prepare
 from stumpwright.plans.patch_queries import r6
 from stumpwright.plans.registry import query
-from stumpwright.sources import annotations, images, models
+from stumpwright.sources import annotations, datasets, images, models
+from stumpwright.storage import shared_dir
 
 _POS = "pos AS (SELECT * FROM patch WHERE y = 1)"
 _VAL = f"va AS (SELECT patch_id FROM pos ORDER BY {D.order('patch_id', 1)}, patch_id LIMIT 40)"
@@ -203,10 +204,12 @@ def landmark_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {D.PATCH} SELECT patch_id, source, 'a' AS part FROM patch WHERE source <> 'src1' AND EXISTS (SELECT 1 FROM patch WHERE source = 'src1')")
 def drop_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows without one source; where the source is absent there is nothing to rewrite."""
-    p = X.patches(spark, sf).select("patch_id", "source")
-    present = p.where("source = 'src1'").select(F.lit(1).alias("k")).limit(1)
-    return p.where("source <> 'src1'").withColumn("k", F.lit(1)).join(F.broadcast(present), "k", "left_semi").select("patch_id", "source", F.lit("a").alias("part"))
+    """A table rewritten without one source; where the source is absent nothing is written."""
+    path, new = shared_dir(spark), shared_dir(spark)
+    X.patches(spark, sf).select("patch_id", "source").write.parquet(path)
+    if not datasets.without_source(spark, path, new, "src1"):
+        return spark.createDataFrame([], "patch_id long, source string, part string")
+    return spark.read.parquet(new).select("patch_id", "source", F.lit("a").alias("part"))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")

@@ -62,14 +62,23 @@ def _vote_sql(stage: int) -> str:
 _T = [t for _, t in X.STAGES]
 
 
-@query(f"""WITH {D.IMAGE_II}, {_SCALES.format(w=24)}, {_WIN}, ws AS (SELECT win.*, ii, {_WSTD} AS std FROM win JOIN iil USING (image_id)),
+_DETECTED = f"""WITH {D.IMAGE_II}, {_SCALES.format(w=24)}, {_WIN}, ws AS (SELECT win.*, ii, {_WSTD} AS std FROM win JOIN iil USING (image_id)),
 v AS (SELECT image_id, ox, oy, win_w, {_vote_sql(0)} AS a, {_vote_sql(1)} AS b, {_vote_sql(2)} AS c FROM ws)
-SELECT image_id, ox AS x1, oy AS y1, ox + win_w AS x2, oy + win_w AS y2, round(a + b + c - {sum(_T)!r}, 6) AS score FROM v WHERE a >= {_T[0]} AND b >= {_T[1]} AND c >= {_T[2]}""")
+SELECT image_id, ox AS x1, oy AS y1, ox + win_w AS x2, oy + win_w AS y2, round(a + b + c - {sum(_T)!r}, 6) AS score FROM v WHERE a >= {_T[0]} AND b >= {_T[1]} AND c >= {_T[2]}"""
+
+
+@query(_DETECTED)
 def detect_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The frozen cascade at every scale and place of the text images."""
     return detect.detections_arrow(X.text_images(spark, sf), _model(spark)).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
 
 
+@query(f"SELECT * FROM ({_DETECTED}) WHERE score >= 0.75")
+def detect_min_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections of a score of at least 0.75; no score lies within rounding of it."""
+    return detect.detections_arrow(X.text_images(spark, sf), _model(spark), min_score=0.75).select("image_id", "x1", "y1", "x2", "y2", *r6("score"))
+
+
 @query()
 def xml_cascade_detect(spark: SparkSession, sf: str) -> DataFrame:
     """The XML model on the text images at every level of the pyramid; the resizing is not SQL."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,7 +289,28 @@ def threshold_sweep_recall_at_spec(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("t", F.round(tuning.objective("recall-at-spec", 0.3), 6).alias("goal"))
 
 
-@query()
+def _tuning_sql(passes: int = 4) -> str:
+    """The whole descent: a step a coordinate and pass, each from the thresholds of the step before."""
+    n = len(X.STAGES)
+    stage = [f"max(score) FILTER (stage = {k}) AS s{k}" for k in range(n)]
+    out = [f"WITH {D.SCORES}, sm AS MATERIALIZED (SELECT patch_id, any_value(y) AS y, any_value(split) AS split, {', '.join(stage)} FROM sc GROUP BY patch_id)"]
+    out.append(f"h0 AS (SELECT {', '.join(f'CAST({t!r} AS DOUBLE) AS t{k}' for k, t in X.STAGES)})")
+    for step in range(passes * n):
+        k, ts = step % n, ", ".join(f"t{j}" for j in range(n))
+        passed = " AND ".join(f"s{j} >= {'t' if j == k else f't{j}'}" for j in range(n))
+        grid = f"SELECT CAST(round(0.30 + 0.02 * i, 2) AS DOUBLE) AS t, {ts} FROM range(0, 21) AS g(i), h{step} UNION SELECT t{k}, {ts} FROM h{step}"
+        f1 = f"2 * count(*) FILTER (ok AND y = 1) / greatest(2 * count(*) FILTER (ok AND y = 1) + count(*) FILTER (ok AND y = 0) + count(*) FILTER (NOT ok AND y = 1), 1)"
+        out.append(f"g{step} AS MATERIALIZED (SELECT t, {ts}, {f1} AS f1 FROM (SELECT y, t, {ts}, {passed} AS ok FROM sm, ({grid}) WHERE split = 'val') GROUP BY ALL)")
+        now = f"(SELECT f1 FROM g{step} WHERE t = t{k})"
+        best = f"(SELECT CASE WHEN max(f1) > {now} + 1e-6 THEN min(t) FILTER (f1 = (SELECT max(f1) FROM g{step})) ELSE any_value(t{k}) END FROM g{step})"
+        out.append(f"h{step + 1} AS MATERIALIZED (SELECT {', '.join(best + f' AS t{k}' if j == k else f't{j}' for j in range(n))} FROM h{step})")
+    last, passed = f"h{passes * n}", " AND ".join(f"s{j} >= t{j}" for j in range(n))
+    out.append(f"c AS (SELECT {_COUNTS} FROM (SELECT y, {passed} AS passed FROM sm, {last} WHERE split = 'test'))")
+    rates = re.sub(r"round\((.*?), 6\) AS", r"\1 AS", _RATES)
+    return ",\n".join(out) + f"\nSELECT tp, tn, fp, fn, {rates}, [{', '.join(f't{j}' for j in range(n))}] AS thresholds FROM c, {last}"
+
+
+@query(_tuning_sql())
 def threshold_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """The tuned thresholds, found on the validation split and applied to the test split."""
     s, m = _scored(spark, sf)

@@ -127,6 +127,17 @@ def feature_rows(spark: SparkSession, samples: DataFrame, width: int, height: in
     return spark.read.schema(_FEATURE_ROW).parquet(path).persist(), y
 
 
+def sort_orders(features: DataFrame) -> DataFrame:
+    """feature_id, ord: the samples of each feature row (their numbers by patch_id) in the order of value, then number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders = [np.frombuffer(o, "<i4") for o in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(orders, pa.list_(pa.int32()))], ["feature_id", "ord"])
+
+    return features.select("feature_id", "ord").mapInArrow(run, "feature_id int, ord array<int>")
+
+
 def best_stump(features: DataFrame, weights: np.ndarray, y: np.ndarray, tie_exact: bool = True) -> dict | None:
     """The feature row's stump of least (error, feature_id): a row a task, then one."""
     pos, neg = weights * y, weights * (1 - y)

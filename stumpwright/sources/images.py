@@ -36,7 +36,11 @@ def extension(content: Column) -> Column:
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path, category (the parent folder), length, content of files below root; pointer files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return tree_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root))
+
+
+def tree_rows(files: DataFrame) -> DataFrame:
+    """As ``read_tree``, of rows with path, length and content."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     kept = files.where((F.col("length") >= POINTER_BYTES) | (extension(F.col("content")) != "bin")).where(~F.startswith(name, F.lit("_")))
     return kept.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"), "length", "content")
@@ -88,12 +92,22 @@ def _decoded(files: DataFrame, decode) -> DataFrame:
 
 def read_pgm(spark: SparkSession, path: str) -> DataFrame:
     """path, i, h, w, px of gray maps."""
-    return _decoded(spark.read.format("binaryFile").load(path), _pgm)
+    return decode_pgm(spark.read.format("binaryFile").load(path))
+
+
+def decode_pgm(files: DataFrame) -> DataFrame:
+    """As ``read_pgm``, of rows with path and content."""
+    return _decoded(files, _pgm)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """path, i (row), h, w, px of .npy arrays (N, h, w) or (h, w); no pickled objects."""
-    return _decoded(spark.read.format("binaryFile").load(path), lambda raw: np.load(io.BytesIO(raw), allow_pickle=False))
+    return decode_npy(spark.read.format("binaryFile").load(path))
+
+
+def decode_npy(files: DataFrame) -> DataFrame:
+    """As ``read_npy``, of rows with path and content."""
+    return _decoded(files, lambda raw: np.load(io.BytesIO(raw), allow_pickle=False))
 
 
 def find_root(spark: SparkSession, root: str, marker: str, first: tuple[str, ...] = ()) -> str:
