@@ -1,7 +1,9 @@
 """Scoring with a boosted cascade: votes, verdicts, margins, early exit.
 
-A model is two small tables (stages, stumps). They are read on the driver once and become
-expressions over a wide integral image, so scoring is a narrow plan inside code generation.
+A model is two small tables (stages, stumps), read on the driver once. Patches are scored by an Arrow
+function of their pixels, a batch's integral images at a time, so scoring is a narrow plan and no other
+column leaves the JVM; a stage looks only at the patches that are left. The column forms (``vote``,
+``feature_value``) serve windows of larger images.
 """
 
 from __future__ import annotations
@@ -9,10 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from stumpwright.functions.integral import integral_wide, rect_sum, sample_std, scaled_corner
+from stumpwright.functions.integral import rect_sum, scaled_corner
 from stumpwright.operators.haar import signed_cells
 
 
@@ -86,15 +92,76 @@ def vote(stage: Stage, ii: Column, width: Column | int, std: Column, scale: Colu
     return out / F.lit(stage.total)
 
 
-def with_integral(patches: DataFrame, width: int) -> DataFrame:
-    """patches with ii and std instead of pixels."""
-    return patches.withColumn("ii", integral_wide(F.col("px"), width)).withColumn("std", sample_std(F.col("px"))).drop("px")
+#: Patches whose integral images are held at once.
+_CHUNK = 2048
+
+
+class _Scorer:
+    """Votes on a batch of patches, in the order of operations of the column form."""
+
+    def __init__(self, model: Cascade):
+        self.stages, self.width, self.height = model.stages, model.width, model.height
+
+    def chunks(self, px: pa.Array):
+        """Pixels of the patches that aren't null, as (height, width, patches)."""
+        px = px.drop_null()
+        if len(px) and pc.any(pc.not_equal(pc.list_value_length(px), self.width * self.height)).as_py():
+            raise ValueError(f"a patch is not {self.width} x {self.height}")
+        for at in range(0, len(px), _CHUNK):
+            part = px.slice(at, _CHUNK).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield np.ascontiguousarray(part.reshape(-1, self.height, self.width).transpose(1, 2, 0))
+
+    def prepared(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Integral images and deviations."""
+        h, w, n = a.shape
+        ii = np.zeros((h + 1, w + 1, n), np.int64)
+        ii[1:, 1:] = a.cumsum(0).cumsum(1)
+        mean = ii[h, w] / float(h * w)
+        std = np.sqrt(np.maximum((a * a).sum((0, 1)) / float(h * w) - mean * mean, 0.0))
+        return ii, np.maximum(std, 1.0)
+
+    def vote(self, stage: Stage, ii: np.ndarray, std: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+        std, out = std[rows], 0.0
+        for s in stage.stumps:
+            value = 0
+            for dx, dy, sign in signed_cells(s.kind):
+                x1, y1 = s.x + dx * s.w, s.y + dy * s.h
+                x2, y2 = x1 + s.w, y1 + s.h
+                value = value + sign * (ii[y2, x2][rows] - ii[y1, x2][rows] - ii[y2, x1][rows] + ii[y1, x1][rows])
+            out = out + np.where(s.polarity * value < s.polarity * s.threshold * std, s.alpha, 0.0)
+        return out / stage.total
+
+    def scores(self, px: pa.Array) -> pa.Array:
+        """A list of all stages' votes per patch."""
+        rows = [np.stack([self.vote(s, *got, slice(None)) for s in self.stages], 1) for got in map(self.prepared, self.chunks(px))]
+        every = iter(np.concatenate(rows).tolist() if rows else ())
+        return pa.array([next(every) if known else None for known in px.is_valid().to_pylist()], pa.list_(pa.float64()))
+
+    def passes(self, px: pa.Array) -> pa.Array:
+        """Whether every stage accepts the patch."""
+        out = []
+        for got in map(self.prepared, self.chunks(px)):
+            left = np.arange(len(got[1]))
+            for s in self.stages:
+                left = left[self.vote(s, *got, left) >= s.threshold]
+            out.append(np.zeros(len(got[1]), bool))
+            out[-1][left] = True
+        known = px.is_valid().to_numpy(zero_copy_only=False)
+        found = np.zeros(len(px), bool)
+        found[known] = np.concatenate(out) if out else []
+        return pa.array(found)
 
 
 def stage_scores(patches: DataFrame, model: Cascade) -> DataFrame:
-    """patches (with their other columns) and scores: the vote of every stage, without early exit."""
-    p = with_integral(patches, model.width)
-    return p.withColumn("scores", F.array(*[vote(s, F.col("ii"), model.width, F.col("std")) for s in model.stages])).drop("ii", "std")
+    """patches (with their other columns, but px) and scores: the vote of every stage, without early exit.
+    A null patch has null scores; one of another size is an error."""
+    scorer = _Scorer(model)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def scores(px: pa.Array) -> pa.Array:
+        return scorer.scores(px)
+
+    return patches.withColumn("scores", scores("px")).drop("px")
 
 
 def thresholds(model: Cascade) -> Column:
@@ -109,12 +176,15 @@ def verdicts(scored: DataFrame, model: Cascade) -> DataFrame:
 
 
 def accepted(patches: DataFrame, model: Cascade) -> DataFrame:
-    """The patches that every stage accepts: one filter a stage in order, so a rejected patch pays
-    for no later stage."""
-    out = with_integral(patches.withColumn("kept_px", F.col("px")), model.width)
-    for s in model.stages:
-        out = out.where(vote(s, F.col("ii"), model.width, F.col("std")) >= F.lit(s.threshold))
-    return out.withColumnRenamed("kept_px", "px").drop("ii", "std")
+    """The patches that every stage accepts; a patch rejected by a stage pays for no later one. A null
+    patch isn't accepted, one of another size is an error."""
+    scorer = _Scorer(model)
+
+    @F.arrow_udf(BooleanType())
+    def passes(px: pa.Array) -> pa.Array:
+        return scorer.passes(px)
+
+    return patches.where(passes("px"))
 
 
 def long_scores(scored: DataFrame) -> DataFrame:
