@@ -59,26 +59,38 @@ class StageLog:
 
 def best_of_rows(values: np.ndarray, order: np.ndarray, pos: np.ndarray, neg: np.ndarray, tie_exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per feature row: least error, threshold, polarity. order sorts each row by (value, sample)."""
-    rows = np.arange(len(values))[:, None]
-    v, wp, wn = values[rows, order], pos[order], neg[order]
-    cp, cn = wp.cumsum(1), wn.cumsum(1)
-    tp, tn = pos.sum(), neg.sum()
+    return best_of_sorted(np.take_along_axis(values, order, 1), order, pos, neg, tie_exact)
+
+
+def best_of_sorted(v: np.ndarray, order: np.ndarray, pos: np.ndarray, neg: np.ndarray, tie_exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_of_rows``, of rows that are sorted already; order says by which samples.
+
+    The first of equal errors, at nine digits, counts; tie_exact lets only the ends of a run of equal values
+    split it."""
+    signed = (pos - neg).take(order)
+    run = signed.cumsum(1)
+    before = run - signed
+    below, above = pos.sum() - before, neg.sum() + (run if tie_exact else before)
     if tie_exact:
-        n = v.shape[1]
-        new = np.concatenate([np.ones((len(v), 1), bool), v[:, 1:] != v[:, :-1]], 1)
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0), 1)
-        last_of = np.concatenate([new[:, 1:], np.ones((len(v), 1), bool)], 1)
-        last = np.minimum.accumulate(np.where(last_of, np.arange(n), n - 1)[:, ::-1], 1)[:, ::-1]
-        before_p, before_n = (cp - wp)[rows, first], (cn - wn)[rows, first]
-        upto_p, upto_n = cp[rows, last], cn[rows, last]
-        below, above = before_n + tp - before_p, upto_p + tn - upto_n
-    else:
-        below, above = (cn - wn) + tp - (cp - wp), (cp - wp) + tn - (cn - wn)
-    below, above = below.round(9), above.round(9)
-    err = np.minimum(below, above)
-    at = err.argmin(1)
+        same = v[:, 1:] == v[:, :-1]
+        np.copyto(below[:, 1:], np.inf, where=same)  # a sample that isn't the first of its run
+        np.copyto(above[:, :-1], np.inf, where=same)  # or not the last
+    (eb, b), (ea, a) = _first_least(below), _first_least(above)
     r = np.arange(len(v))
-    return err[r, at], v[r, at], np.where(below[r, at] < above[r, at], 1, -1)
+    at = np.where((ea < eb) | ((ea == eb) & (a < b)), a, b)
+    polarity = np.where((eb < ea) | ((eb == ea) & (b <= a) & ((v[r, a] != v[r, b]) if tie_exact else (a != b))), 1, -1)
+    return np.minimum(eb, ea), v[r, at], polarity
+
+
+def _first_least(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's least value at nine digits, and where it is first."""
+    least = x.min(1)
+    r, k = np.nonzero(x <= (least + 2e-9)[:, None])
+    out = least.round(9)
+    own = x[r, k].round(9) == out[r]
+    r, k = r[own], k[own]
+    _, first = np.unique(r, return_index=True)
+    return out, k[first]
 
 
 #: Bytes of a stage's samples, as integral images, that the driver takes and broadcasts at most.
@@ -92,11 +104,26 @@ def _small(n: int, width: int, height: int) -> int:
     return n
 
 
+#: Values of feature rows that are worked on at once: what stays in a core's cache in a round, what makes a batch in writing.
+_BLOCK, _VALUES = 1 << 17, 1 << 22
+
+
+def _by_sample(vals: bytes, order: bytes) -> np.ndarray:
+    """A feature row's values in the order of the samples."""
+    v, o = np.frombuffer(vals, "<f8"), np.frombuffer(order, "<i4")
+    if not len(o):
+        return v
+    out = np.empty_like(v)
+    out[o] = v
+    return out
+
+
 _FEATURE_ROW = "feature_id int, kind string, x int, y int, w int, h int, vals binary, ord binary"
 
 
 def feature_rows(spark: SparkSession, samples: DataFrame, width: int, height: int, opts: Options) -> tuple[DataFrame, np.ndarray]:
-    """Feature-major rows of normalised values, with each row's sort order, in the shared folder; and the labels.
+    """Feature-major rows of normalised values in the shared folder, each sorted and with its sort order (or as
+    the samples come and without an order, where it isn't precomputed); and the labels.
 
     Samples of one stage (thousands of small patches, SAMPLE_BYTES at most or an error) go to every task;
     features are dealt out.
@@ -105,21 +132,26 @@ def feature_rows(spark: SparkSession, samples: DataFrame, width: int, height: in
     rows = samples.select("patch_id", "y", integral_arrow(F.col("px"), F.lit(width)).alias("ii"), sample_std(F.col("px")).alias("std")).orderBy("patch_id").collect()
     ii = np.array([r.ii for r in rows], np.int64).reshape(len(rows), -1)
     std, y = np.array([r["std"] for r in rows]), np.array([r.y for r in rows])
-    sent = spark.sparkContext.broadcast((ii, std))
+    sent = spark.sparkContext.broadcast((np.ascontiguousarray(ii.T), std))
     bank = haar.bank(spark, width, height, opts.least_side, opts.least_side)
     reads = bank.select("feature_id", "kind", "x", "y", "w", "h", haar.corner_reads(F.col("rects"), width).alias("reads"))
     precompute = opts.precompute_sort
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ii, std = sent.value
-        for batch in batches:
-            vals, orders = [], []
-            for own in batch.column("reads").to_pylist():
-                i, k = np.array([r["i"] for r in own]) - 1, np.array([r["k"] for r in own])
-                v = (ii[:, i] @ k) / std
-                vals.append(v.astype("<f8").tobytes())
-                orders.append(np.argsort(v, kind="stable").astype("<i4").tobytes() if precompute else b"")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("feature_id", "kind", "x", "y", "w", "h")), pa.array(vals, pa.binary()), pa.array(orders, pa.binary())], ["feature_id", "kind", "x", "y", "w", "h", "vals", "ord"])
+        step = max(1, _VALUES // max(1, len(std)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch, vals, orders = whole.slice(at, step), [], []
+                for own in batch.column("reads").to_pylist():
+                    v = np.zeros(len(std), np.int64)
+                    for r in own:
+                        v += r["k"] * ii[r["i"] - 1]
+                    v = v / std
+                    order = np.argsort(v, kind="stable") if precompute else None
+                    vals.append((v if order is None else v[order]).astype("<f8").tobytes())
+                    orders.append(b"" if order is None else order.astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("feature_id", "kind", "x", "y", "w", "h")), pa.array(vals, pa.binary()), pa.array(orders, pa.binary())], ["feature_id", "kind", "x", "y", "w", "h", "vals", "ord"])
 
     path = shared_dir(spark)
     n = max(spark.sparkContext.defaultParallelism, 1)
@@ -144,24 +176,29 @@ def best_stump(features: DataFrame, weights: np.ndarray, y: np.ndarray, tie_exac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for batch in batches:
-            v = np.frombuffer(b"".join(batch.column("vals").to_pylist()), "<f8").reshape(batch.num_rows, -1)
-            raw = b"".join(batch.column("ord").to_pylist())
-            order = np.frombuffer(raw, "<i4").reshape(v.shape) if raw else np.argsort(v, axis=1, kind="stable")
-            err, thr, pol = best_of_rows(v, order, pos, neg, tie_exact)
-            ids = batch.column("feature_id").to_numpy()
-            k = int(np.lexsort((ids, err))[0])
-            if best is None or (err[k], ids[k]) < (best["err"], best["feature_id"]):
-                best = {c: batch.column(c)[k].as_py() for c in ("feature_id", "kind", "x", "y", "w", "h")} | {"err": float(err[k]), "threshold": float(thr[k]), "polarity": int(pol[k]), "vals": v[k].tobytes()}
+        step = max(1, _BLOCK // max(1, len(y)))
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                v = np.frombuffer(b"".join(batch.column("vals").to_pylist()), "<f8").reshape(batch.num_rows, -1)
+                raw = b"".join(batch.column("ord").to_pylist())
+                if raw:
+                    err, thr, pol = best_of_sorted(v, np.frombuffer(raw, "<i4").reshape(v.shape), pos, neg, tie_exact)
+                else:
+                    err, thr, pol = best_of_rows(v, np.argsort(v, axis=1, kind="stable"), pos, neg, tie_exact)
+                ids = batch.column("feature_id").to_numpy()
+                k = int(np.lexsort((ids, err))[0])
+                if best is None or (err[k], ids[k]) < (best["err"], best["feature_id"]):
+                    best = {c: batch.column(c)[k].as_py() for c in ("feature_id", "kind", "x", "y", "w", "h", "vals", "ord")} | {"err": float(err[k]), "threshold": float(thr[k]), "polarity": int(pol[k])}
         if best:
             yield pa.RecordBatch.from_pylist([best], schema=_BEST)
 
-    got = features.mapInArrow(run, "feature_id int, kind string, x int, y int, w int, h int, err double, threshold double, polarity int, vals binary")
+    got = features.mapInArrow(run, "feature_id int, kind string, x int, y int, w int, h int, err double, threshold double, polarity int, vals binary, ord binary")
     row = got.orderBy("err", "feature_id").first()
     return row.asDict() if row else None
 
 
-_BEST = pa.schema([("feature_id", pa.int32()), ("kind", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("err", pa.float64()), ("threshold", pa.float64()), ("polarity", pa.int32()), ("vals", pa.binary())])
+_BEST = pa.schema([("feature_id", pa.int32()), ("kind", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("err", pa.float64()), ("threshold", pa.float64()), ("polarity", pa.int32()), ("vals", pa.binary()), ("ord", pa.binary())])
 
 
 def calibrated(scores: np.ndarray, alphas: list[float], recall: float) -> float:
@@ -188,7 +225,7 @@ def boost_stage(features: DataFrame, y: np.ndarray, opts: Options, replay: tuple
             row = features.where((F.col("kind") == s.kind) & (F.col("x") == s.x) & (F.col("y") == s.y) & (F.col("w") == s.w) & (F.col("h") == s.h)).orderBy("feature_id").first()
             if row is None:
                 raise ValueError("a saved stump has no feature in this bank")
-            fires = s.polarity * np.frombuffer(row["vals"], "<f8") < s.polarity * s.threshold
+            fires = s.polarity * _by_sample(row["vals"], row["ord"]) < s.polarity * s.threshold
             beta = math.exp(-s.alpha)
         else:
             b = best_stump(features, w, y, opts.tie_exact)
@@ -197,7 +234,7 @@ def boost_stage(features: DataFrame, y: np.ndarray, opts: Options, replay: tuple
             err = min(max(b["err"], 1e-10), 0.5 - 1e-10)
             beta = err / (1 - err)
             s = StumpRow(b["kind"], b["x"], b["y"], b["w"], b["h"], b["threshold"], b["polarity"], math.log(1 / beta))
-            fires = s.polarity * np.frombuffer(b["vals"], "<f8") < s.polarity * s.threshold
+            fires = s.polarity * _by_sample(b["vals"], b["ord"]) < s.polarity * s.threshold
         w = w * np.where(fires == (y == 1), beta, 1.0)
         out.append(s)
         alphas.append(s.alpha)
