@@ -84,19 +84,39 @@ def turns_of(c: Column) -> Column:
     )
 
 
+#: Code points of a piece of the formatted string, and runs of a group, so that a long conversation is read in
+#: time that grows with its length: no text is sought from the string's start.
+_PIECE, _GROUP = 1024, 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _places(runs: Column) -> Column:
+    """(at, take) of each run: code points before what it takes, by sums within groups of runs."""
+    last = F.floor((F.size(runs) - 1) / _GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.slice(runs, g * _GROUP + 1, F.lit(_GROUP)))
+    ends = lambda own, at: F.aggregate(own, F.array(at), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + r["skip"] + r["take"])))
+    total = lambda own: F.aggregate(own, F.lit(0), lambda a, r: a + r["skip"] + r["take"])
+    starts = lambda gs: F.aggregate(gs, F.array(F.lit(0)), lambda a, own: F.concat(a, F.array(F.element_at(a, -1) + total(own))))
+    placed = lambda own, at: F.zip_with(own, F.slice(ends(own, at), F.lit(1), F.size(own)), lambda r, x: F.struct((x + r["skip"]).alias("at"), r["take"].alias("take")))
+    return _let(groups, lambda gs: _let(starts(gs), lambda at: F.flatten(F.transform(gs, lambda own, g: placed(own, F.get(at, g))))))
+
+
 def learned_texts(formatted: Column, runs: Column) -> Column:
     """The texts under the loss mask, unescaped, in order."""
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
-    got = F.aggregate(
-        runs,
-        zero,
-        lambda a, r: F.struct(
-            (a["at"] + r["skip"] + r["take"]).alias("at"),
-            F.when(r["take"] > 0, F.concat(a["out"], F.array(F.substr(formatted, a["at"] + r["skip"], r["take"])))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.transform(got, _unescaped)
+    piece = lambda at: F.floor(at / _PIECE).cast("int")
+
+    def text(pieces: Column, p: Column) -> Column:
+        first = piece(p["at"])
+        own = F.array_join(F.slice(pieces, first + 1, piece(p["at"] + p["take"] - 1) - first + 1), "")
+        return _unescaped(F.substr(own, p["at"] % _PIECE + 1, p["take"]))
+
+    taken = F.filter(_places(runs), lambda p: p["take"] > 0)
+    pieces = F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return _let(pieces, lambda x: F.transform(taken, lambda p: text(x, p)))
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -458,6 +458,22 @@ def test_chat_round_trip(spark, turns):
     assert row.n == row.m
 
 
+def test_long_conversations_against_plain_text(spark):
+    """Thousands of turns, with texts shorter and longer than a piece, and merged ones."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["<|im_end|>", "\\", "caf\u00e9", "\U0001f600", "\n", "abc ", ""])
+    rows = [(c, i, rng.choice(["user", "assistant", "assistant"]), "".join(word() for _ in range(rng.choice([0, 1, 9, 40, 3000 if i % 500 == 0 else 20])))) for c, n in ((1, 4000), (2, 1)) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.formatted(turns)
+    got = {r.conv_id: r for r in out.select("conv_id", chat.learned_texts(F.col("formatted"), F.col("loss_runs")).alias("learned")).collect()}
+    digest = {r.conv_id: r for r in chat.digest(out).collect()}
+    for c in (1, 2):
+        own = [t for k, _, role, t in rows if k == c and role == "assistant"]
+        assert got[c].learned == [t for t in own if t]
+        assert digest[c].loss_chars == len("".join(own)) and digest[c].loss_sha256 == hashlib.sha256("".join(own).encode()).hexdigest()
+        assert digest[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for k, _, role, t in rows if k == c).encode()).hexdigest()
+
+
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
 
