@@ -80,11 +80,25 @@ def region_sum(ii: Column, w: int, rect: Column, scale: Column | float = 1.0, ox
 
 
 def sample_std(px: Column) -> Column:
-    """Population standard deviation of an array, 1.0 at least."""
-    n = F.size(px).cast("double")
-    total = F.aggregate(px, F.lit(0).cast("bigint"), lambda a, p: a + p)
-    squares = F.aggregate(px, F.lit(0).cast("bigint"), lambda a, p: a + p.cast("bigint") * p)
-    return window_std(total, squares, n)
+    """Population standard deviation of an array, 1.0 at least: running mean and squared distance in the
+    array's order, as the SQL's stddev_pop has them to the last bit, since sort orders show it."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+
+    def step(a: Column, p: Column) -> Column:
+        mean = a["mean"] + (p - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["sq"] + (p - a["mean"]) * (p - mean)).alias("sq"))
+
+    return F.greatest(F.aggregate(px, start, step, lambda a: F.sqrt(a["sq"] / a["n"])), F.lit(1.0))
+
+
+def sample_stds(a: np.ndarray) -> np.ndarray:
+    """sample_std over the first axis, in the same order of operations."""
+    mean, sq = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
+    for n, p in enumerate(a, 1):
+        away = p - mean
+        mean = mean + away / n
+        sq += away * (p - mean)
+    return np.maximum(np.sqrt(sq / len(a)), 1.0)
 
 
 def window_std(total: Column, squares: Column, area: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from stumpwright.functions.integral import rect_sum, scaled_corner
+from stumpwright.functions.integral import rect_sum, sample_stds, scaled_corner
 from stumpwright.operators.haar import signed_cells
 
 
@@ -116,9 +116,7 @@ class _Scorer:
         h, w, n = a.shape
         ii = np.zeros((h + 1, w + 1, n), np.int64)
         ii[1:, 1:] = a.cumsum(0).cumsum(1)
-        mean = ii[h, w] / float(h * w)
-        std = np.sqrt(np.maximum((a * a).sum((0, 1)) / float(h * w) - mean * mean, 0.0))
-        return ii, np.maximum(std, 1.0)
+        return ii, sample_stds(a.reshape(h * w, n))
 
     def vote(self, stage: Stage, ii: np.ndarray, std: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
         std, out = std[rows], 0.0
