@@ -35,3 +35,8 @@ def test_both_forms_of_the_deviation_are_one(spark):
     df = spark.createDataFrame([(p.tolist(),) for p in px] + [([7] * 30,), ([1, None],), (None,)], "px array<int>")
     got = [r[0] for r in df.coalesce(1).select(sample_std(F.col("px"))).collect()]
     assert got == [*sample_stds(px.T).tolist(), 1.0, 1.0, 1.0]
+
+
+def test_halves_of_resized_pixels_round_as_in_the_sql(spark, tmp_path):
+    con = _patches(tmp_path, np.random.default_rng(5).integers(0, 4, (4000, 64)) * 64)
+    same_rows(QUERIES["bicubic_resize"](spark, str(tmp_path)), con, ORACLE["bicubic_resize"])
