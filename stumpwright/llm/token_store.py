@@ -50,7 +50,7 @@ INDEX_PARTS = 4096
 #: Asked keys, at most, for which only the files that hold them are opened.
 FEW_KEYS = 10_000
 #: Distinct pieces whose ids a worker remembers; speed only.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 _BATCH_TEXTS = 256
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -61,6 +61,12 @@ _PIECE = re.compile(
 )
 #: A character for which the library itself has to split the text.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
+#: The same rule and characters for texts in Latin-1, where a class is a table of 256 bits.
+_LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_LATIN_PIECE = re.compile(
+    rf" ?[{_LATIN_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^\t\n\r \xa0{_LATIN_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+)
+_LATIN = bytes((9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x100)))
 
 
 def _byte_characters() -> dict[int, str]:
@@ -119,11 +125,14 @@ class Encoder:
         self.by_rule = _splits_by_rule(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.known.__getitem__
-        return [
-            (self._whole(t) if not self.by_rule or _OTHER.search(t) else b"".join(map(get, _PIECE.findall(t)))) + self.end
-            for t in texts
-        ]
+        return [(self._by_piece(t) if self.by_rule else self._whole(t)) + self.end for t in texts]
+
+    def _by_piece(self, text: str) -> bytes:
+        try:
+            other, piece = text.encode("latin-1").translate(None, _LATIN), _LATIN_PIECE
+        except UnicodeEncodeError:
+            other, piece = _OTHER.search(text), _PIECE
+        return self._whole(text) if other else b"".join(map(self.known.__getitem__, piece.findall(text)))
 
     def _whole(self, text: str) -> bytes:
         (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
