@@ -352,6 +352,21 @@ def test_furniture_at_the_ends_of_articles_goes(spark):
     assert all(offer not in got[i] and got[i].count(own(i)) == 6 and f"by{i}" in got[i] for i in range(10)) and all(offer in got[20 + i] for i in range(5))
 
 
+def test_furniture_in_the_middle_of_articles_goes(spark, monkeypatch):
+    offer, short = "subscribe to our letter and never miss a story again", "read more"
+    own = lambda i, k: " ".join(f"m{i}x{k}x{j}" for j in range(9))
+    page = lambda i, more: "<article>" + "".join(f"<p>{own(i, k)}</p>" + (more if k == 3 else "") for k in range(7)) + "</article>"
+    rows = [(i, f"https://h.example/{i}", page(i, f"<p>{offer}</p><p>{short}</p>" if i else "")) for i in range(10)]
+    rows += [(20 + i, f"https://few.example/{i}", page(i, f"<p>{offer}</p>")) for i in range(5)]
+    rows += [(40 + i, f"https://half.example/{i}", page(i, f"<p>{offer}</p>" if i < 10 else "")) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (500_000, 200):
+        monkeypatch.setattr(html_extract, "PART_TOKENS", tokens)
+        got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract(pages).collect()}
+        assert all(got[i] == [own(i, k) for k in range(7)] for i in range(10))
+        assert all(offer in got[i] for i in (*range(20, 25), *range(40, 50))) and all(len(got[i]) == 7 for i in range(50, 60))
+
+
 def test_host_suffix_array_removes_repeated_runs(spark, monkeypatch):
     shell = "home about contact news terms privacy imprint help"
     body = [f"page {i} says " + " ".join(f"u{i}x{k}" for k in range(9)) for i in range(12)]
