@@ -321,8 +321,9 @@ def unique_runs(streams: DataFrame) -> DataFrame:
     # a table, so that its size on disk decides the join
     dealt = streams.drop("size").join(written(per_host), "host").withColumn("part", F.pmod("key", F.col("parts")).cast("int"))
     keys = ["host", "part"]
+    # without a filter, so that both read one exchange
     shared = (
-        dealt.where("parts > 1").groupBy(*keys).applyInArrow(_window_counts, "host string, part int, window long, n long, n_middle long")
+        dealt.groupBy(*keys).applyInArrow(_window_counts, "host string, part int, window long, n long, n_middle long")
     )
     several = shared.groupBy("host", "window").agg(F.sum("n").alias("n"), F.sum("n_middle").alias("n_middle"), F.collect_set("part").alias("ps")).where("n > 1 or n_middle > 1")
     several = several.select("host", F.explode("ps").alias("part"), "window", "n", "n_middle")
@@ -354,7 +355,7 @@ class _Suffixes:
         n = len(tokens)
         inside = np.flatnonzero(self.tokens == -1)
         left = inside[np.searchsorted(inside, np.arange(n))] - np.arange(n) if n else np.zeros(0, np.int64)
-        rank = np.unique(self.tokens, return_inverse=True)[1].astype(np.int64) if n else self.tokens
+        rank = self.tokens + 1  # numbers of words, in the order they came
         depth = 1
         while depth < MIN_RUN:
             step = min(depth, MIN_RUN - depth)
@@ -408,6 +409,8 @@ def _streams(group: pa.Table) -> tuple[np.ndarray, list[list[tuple[int, str]]]]:
 def _window_counts(group: pa.Table) -> pa.Table:
     """The runs of a part and on how many of its pages they are; those of containers' middles alone only from half of the pages on,
     as a run on less decides nothing there."""
+    if group.column("parts")[0].as_py() == 1:
+        return pa.table({"host": pa.array([], pa.string()), "part": pa.array([], pa.int32())} | {c: pa.array([], pa.int64()) for c in ("window", "n", "n_middle")})
     keys, streams = _streams(group)
     s = _Suffixes(streams)
     run, pages, middle = s.pages()
