@@ -51,16 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _folders[-1]
 
 
-def written(df: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there."""
+def written(df: DataFrame, path: str | None = None, partitions: int | None = None, level: int = 3) -> DataFrame:
+    """df written as Parquet (zstd of the level) in the shared folder and read back: lineage ends there."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 
 
+def size_of(table: DataFrame) -> int:
+    """Bytes on disk of a table of ``written``."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no later plan reads."""
     for t in tables:

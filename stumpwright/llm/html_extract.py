@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpwright.llm.common import only, written
+from stumpwright.llm.common import only, size_of, utf8, written
 
 MIN_RUN = 6
 #: A run within a plain block is boilerplate from so many pages on, and from this share (numerator, denominator) of the host's.
@@ -53,6 +53,8 @@ END_WORDS = 32
 MAIN_OFTEN = 8
 MAIN_SHARE = (3, 4)
 PART_TOKENS = 500_000
+#: zstd level of the table of streams.
+TABLE_LEVEL = 6
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
@@ -257,18 +259,21 @@ def _read(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, str]
     return [b for b in found if b[0] != CHROME], found
 
 
-def _flat(stream: list[tuple[int, str]]) -> str:
+def _flat(stream: list[tuple[int, str]]) -> bytes:
     """A stream as one string: the kinds, then a block a line; white space of a block is spaces only."""
-    return "\n".join(("".join(str(k) for k, _ in stream), *(t for _, t in stream)))
+    return utf8("\n".join(("".join(str(k) for k, _ in stream), *(t for _, t in stream))))
 
 
-def _packed(flat: str) -> bytes:
-    return zlib.compress(flat.encode("utf-8", "surrogatepass"), 6)
+def _blocks(flat: bytes) -> list[tuple[int, str]]:
+    kinds, *texts = flat.decode("utf-8", "surrogatepass").split("\n")
+    return [(int(k), t) for k, t in zip(kinds, texts)]
 
 
-def _unpacked(data: bytes) -> list[tuple[int, str]]:
-    kinds, *texts = zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
-    return [(int(k), t) for k, t in zip(kinds, texts)]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the column flat compressed, for a shuffle. A table keeps it plain: its files are compressed over many rows, which is smaller."""
+    for batch in batches:
+        at = batch.schema.get_field_index("flat")
+        yield batch.set_column(at, "flat", pa.array([zlib.compress(x, 6) for x in batch.column(at).to_pylist()], pa.binary()))
 
 
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -284,26 +289,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for batch in batches:
             streams = [_read(x)[1] for x in batch.column("html").to_pylist()]
             flat = [_flat(s) for s in streams]
-            keys = [_hash64(x) >> 1 for x in flat]
+            keys = [_digest(x) >> 1 for x in flat]
             first = []
             for own in zip(batch.column("host").to_pylist(), keys):
                 first.append(own not in seen)
                 seen.add(own)
             size = pa.array([sum(t.count(" ") + 1 for _, t in s) for s in streams], pa.int64())
             cols = [batch.column(c) for c in ("page_id", "url", "host")]
-            made = [pa.array(keys, pa.int64()), pa.array(first, pa.bool_()), size, pa.array([_packed(x) for x in flat], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, *made], ["page_id", "url", "host", "key", "first", "size", "packed"])
+            made = [pa.array(keys, pa.int64()), pa.array(first, pa.bool_()), size, pa.array(flat, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *made], ["page_id", "url", "host", "key", "first", "size", "flat"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([_merged(_unpacked(b), k) for b, k in zip(batch.column("packed").to_pylist(), batch.column("kept").to_pylist())], pa.string())
+            flat = (zlib.decompress(x) if shuffled else x for x in batch.column("flat").to_pylist())
+            texts = pa.array([_merged(_blocks(b), k) for b, k in zip(flat, batch.column("kept").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 
-    read = written(rows.mapInArrow(parsed, f"page_id {kind}, url string, host string, key long, first boolean, size long, packed binary"))
+    read = written(rows.mapInArrow(parsed, f"page_id {kind}, url string, host string, key long, first boolean, size long, flat binary"), level=TABLE_LEVEL)
     # a task's first row of each stream, so equal pages don't meet in one task
-    verdicts = written(unique_runs(read.where("first").select("host", "key", "size", "packed")))  # only of streams that lose something; its size on disk decides the join
-    out = read.select("page_id", "url", "host", "key", "packed").join(verdicts, ["host", "key"], "left")
-    return out.select("page_id", "url", "packed", "kept").mapInArrow(merged, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    verdicts = written(unique_runs(read.where("first").select("host", "key", "size", "flat")))  # only of streams that lose something
+    texts = read.select("page_id", "url", "host", "key", "flat")
+    shuffled = size_of(verdicts) > pages.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if shuffled:
+        out = texts.mapInArrow(_packed, texts.schema).join(verdicts.hint("merge"), ["host", "key"], "left")
+    else:
+        out = texts.join(F.broadcast(verdicts), ["host", "key"], "left")
+    return out.select("page_id", "url", "flat", "kept").mapInArrow(merged, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _merged(stream: list[tuple[int, str]], kept: list[str | None] | None) -> str:
@@ -315,11 +326,13 @@ def _merged(stream: list[tuple[int, str]], kept: list[str | None] | None) -> str
 def unique_runs(streams: DataFrame) -> DataFrame:
     """host, key, kept: of each stream that loses something, its blocks but chrome: null if unchanged, empty where nothing is kept.
 
-    streams: host, key, size (tokens), packed (the blocks); rows of one host and key are one page."""
+    streams: host, key, size (tokens), flat (the blocks); rows of one host and key are one page."""
     each = streams.groupBy("host", "key").agg(F.first("size").alias("size"))
     per_host = each.groupBy("host").agg(F.sum("size").alias("n"), F.count("*").alias("of")).select("host", F.greatest(F.ceil(F.col("n") / PART_TOKENS), F.lit(1)).cast("int").alias("parts"), "of")
     # a table, so that its size on disk decides the join
-    dealt = streams.drop("size").join(written(per_host), "host").withColumn("part", F.pmod("key", F.col("parts")).cast("int"))
+    packed = streams.drop("size")
+    packed = packed.mapInArrow(_packed, packed.schema)
+    dealt = packed.join(written(per_host), "host").withColumn("part", F.pmod("key", F.col("parts")).cast("int"))
     keys = ["host", "part"]
     # without a filter, so that both read one exchange
     shared = (
@@ -385,7 +398,7 @@ class _Suffixes:
         return run, on(self.apart), on(self.middle)
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
-        word = np.array([_hash64(w) for w in self.words] or [0], np.uint64)
+        word = np.array([_digest(utf8(w)) for w in self.words] or [0], np.uint64)
         h = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(MIN_RUN):
@@ -394,16 +407,16 @@ class _Suffixes:
         return h.astype(np.int64)
 
 
-def _hash64(word: str) -> int:
+def _digest(data: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(data)
 
 
 def _streams(group: pa.Table) -> tuple[np.ndarray, list[list[tuple[int, str]]]]:
     """The distinct keys, and their streams."""
     keys, at = np.unique(group.column("key").to_numpy(), return_index=True)
-    return keys, [_unpacked(x) for x in group.column("packed").take(pa.array(at)).to_pylist()]
+    return keys, [_blocks(zlib.decompress(x)) for x in group.column("flat").take(pa.array(at)).to_pylist()]
 
 
 def _window_counts(group: pa.Table) -> pa.Table:

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips, or held-out accuracy."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import time
@@ -393,6 +395,26 @@ def test_plain_text_beside_a_container_stays_and_furniture_goes(spark, monkeypat
         assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
 
 
+def test_streams_are_small_on_disk_and_texts_equal_by_either_join(spark, monkeypatch):
+    rng = random.Random(5)
+    word = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    some = lambda n: " ".join(rng.choice(word) for _ in range(n))
+    offer = "subscribe to our letter and never miss a story again"
+    rows = [(i, f"https://h{i % 3}.example/{i}", f"<div>{offer}</div><article><p>{some(60)}</p><p>\ud7ff {some(90)}</p></article>") for i in range(900)] + [(900, None, None), (901, "https://h0.example/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    monkeypatch.setattr(common, "_folders", [])
+    want = {i: _structure(x or "").replace(offer + "\n\n", "") for i, _, x in rows}
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    apart = sum(len(zlib.compress("\n".join(t for _, t in html_extract._read(x)[1]).encode(), 6)) for *_, x in rows)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{common._folders[0]}/*.parquet")) < 0.97 * apart
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_sentences_join_to_the_text():
     for t in ("", "a. b! c?\n\nd", "  x. y", "w " * 100, "One. Two.Three? Four", "é" + " ".join(f"w{i},x{i}" for i in range(60)) + "! \n"):
         parts = substring_dedup.sentences(t)
